@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import compression, decontaminate, langid, licenses
+from pyspark.sql import functions as F
+
+from palimpsest.llm import chat, compression, decontaminate, langid, licenses, mixing, secrets, simhash
 from palimpsest.llm.common import read
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.quality_domains(read(spark, sf_dir, "labels"))
+    carry = [F.col("doc_id"), F.col("source")]
+    return mixing.mix(read(spark, sf_dir, "documents"), labelled, mixing.TARGETS, carry)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.measure(read(spark, sf_dir, "documents"))
 
@@ -27,11 +47,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chat_format,
+        op3_secret_scan,
+        op4_mixing,
         op5_compression_bands,
+        op6_simhash,
         op7_license_scan,
         op9_language_id,
         op10_decontaminate,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.ORACLE}
