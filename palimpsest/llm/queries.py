@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, compression, decontaminate, langid, licenses, mixing, secrets, simhash
+from palimpsest.llm import chat, compression, decontaminate, langid, licenses, mixing, nbsvm, secrets, simhash, toxicity
 from palimpsest.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -48,11 +56,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format,
+        op2_toxicity,
         op3_secret_scan,
         op4_mixing,
         op5_compression_bands,
         op6_simhash,
         op7_license_scan,
+        op8_quality_nbsvm,
         op9_language_id,
         op10_decontaminate,
     )
