@@ -88,8 +88,8 @@ def recall_semantic_topk(spark, sf):
     return recall.candidates(asked, rows, recall.Options(k=10, over_fetch=1)).select("query_id", "memory_id", "similarity", "rank")
 
 
-TOTAL = "round(0.4 * similarity + 0.25 * keyword_score + 0.15 * graph_score + 0.1 * recency_score + 0.1 * importance, 6)"
-GATED = "round((0.4 * similarity + 0.25 * keyword_score + 0.15 * graph_score + 0.1 * importance) * recency_score, 6)"
+TOTAL = "round(0.4 * similarity + 0.25 * keyword_score + 0.15 * graph_score + 0.1 * importance + 0.1 * recency_score, 8)"
+GATED = "round((0.4 * similarity + 0.25 * keyword_score + 0.15 * graph_score + 0.1 * importance) * recency_score, 8)"
 
 
 @query(_ctes("scored") + f" select query_id, memory_id, similarity as semantic_score, keyword_score, recency_score, graph_score, {TOTAL} as total_score from scored")
@@ -138,11 +138,11 @@ def recall_suppress_superseded(spark, sf):
     return recall.drop_superseded(hits, rows, edges).select("query_id", "memory_id")
 
 
-SUPERSEDED = f""", over as (select distinct from_id, to_id from edges where type = 'Supersedes'),
-  up(origin, node, depth) as (select distinct from_id, from_id, 0 from over union select u.origin, o.from_id, u.depth + 1 from up u join over o on o.to_id = u.node where u.depth < 64),
-  tops as (select origin, arg_max(created_at, depth * 100000 + node) as at from up join m on m.memory_id = up.node and m.{ALIVE} group by 1),
-  down(node, at) as (select o.to_id, t.at from over o join tops t on t.origin = o.from_id union select o.to_id, d.at from down d join over o on o.from_id = d.node),
-  replaced as (select node as memory_id, max(at) as superseded_at from down group by 1)"""
+SUPERSEDED = f""", newer as (select distinct from_id, to_id from edges where type = 'Supersedes'),
+  up(origin, node, depth) as (select distinct from_id, from_id, 0 from newer union select u.origin, o.from_id, u.depth + 1 from up u join newer o on o.to_id = u.node where u.depth < 64),
+  tops as (select origin, arg_max(created_at, depth * 100000 + node) as top_at from up join m on m.memory_id = up.node and m.{ALIVE} group by 1),
+  down(node, top_at) as (select o.to_id, t.top_at from newer o join tops t on t.origin = o.from_id union select o.to_id, d.top_at from down d join newer o on o.from_id = d.node),
+  replaced as (select node as memory_id, max(top_at) as superseded_at from down group by 1)"""
 
 
 @query(_ctes("m", "edges", "stream") + SUPERSEDED + " select memory_id, superseded_at from replaced")
@@ -155,13 +155,13 @@ def supersession_closure(spark, sf):
     _ctes("hits", "edges")
     + SUPERSEDED
     + """, olds as (select m.agent_id, r.superseded_at, m.content, m.parent_id from replaced r join m using (memory_id) where m.layer = 'Derived'),
-      texts as (select agent_id, content, max(superseded_at) as at from (select agent_id, superseded_at, content from olds
+      texts as (select agent_id, content, max(superseded_at) as top_at from (select agent_id, superseded_at, content from olds
         union all select o.agent_id, o.superseded_at, p.content from olds o join m p on p.memory_id = o.parent_id) group by 1, 2),
-      b as (select agent_id, at, list_distinct([substring(content, i::int, 2) for i in range(1, greatest(length(content) - 1, 1) + 1)]) as g from texts where length(content) >= 2),
+      b as (select agent_id, top_at, list_distinct([substring(content, i::int, 2) for i in range(1, greatest(length(content) - 1, 1) + 1)]) as g from texts where length(content) >= 2),
       c as (select memory_id, agent_id, created_at, case when length(content) >= 2 then list_distinct([substring(content, i::int, 2) for i in range(1, greatest(length(content) - 1, 1) + 1)]) else [] end as g
         from m where memory_id in (select memory_id from hits))
       select query_id, memory_id from hits where memory_id not in
-       (select c.memory_id from c join b on c.agent_id = b.agent_id and c.created_at < b.at and len(list_intersect(c.g, b.g)) / len(b.g) >= 0.9)"""
+       (select c.memory_id from c join b on c.agent_id = b.agent_id and c.created_at < b.top_at and len(list_intersect(c.g, b.g)) / len(b.g) >= 0.9)"""
 )
 def recall_content_superseded(spark, sf):
     rows, asked, edges = _tables(spark, sf)

@@ -18,6 +18,7 @@ from palimpsest.functions import scores, text
 from palimpsest.operators import similarity
 from palimpsest.operators.filters import is_alive
 from palimpsest.operators.lifecycle import boosted, marked
+from palimpsest.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -119,7 +120,7 @@ def neighbourhood(facts: DataFrame, memories: DataFrame, config: ReconcileConfig
     near = near.join(derived.select("memory_id"), "memory_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy("rank")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= config.pool)
-    near = near.select("query_id", "memory_id", "similarity", F.lit(1).alias("source"), F.col("n").cast("double").alias("key"))
+    near = materialize(near.select("query_id", "memory_id", "similarity", F.lit(1).alias("source"), F.col("n").cast("double").alias("key")), "near")
     few = facts.join(near.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < config.few)
     pairs = few.select("query_id", "agent_id", F.size(text.bigrams(F.col("content"))).alias("size"), F.explode(text.bigrams(F.col("content"))).alias("pair"))
     theirs = derived.select("memory_id", "agent_id", F.explode(text.bigrams(F.col("content"))).alias("pair"))
@@ -169,7 +170,7 @@ def decide(facts: DataFrame, memories: DataFrame, config: ReconcileConfig = Reco
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= config.most)
     old = memories.select("memory_id", F.col("content").alias("old"), F.col("created_at").alias("old_at"))
     fact = facts.select("query_id", F.col("content").alias("fact"), F.col("created_at").alias("fact_at"))
-    judged = judge(near.join(old, "memory_id").join(fact, "query_id"), config).where("op <> 'ADD'")
+    judged = materialize(judge(near.join(old, "memory_id").join(fact, "query_id"), config).where("op <> 'ADD'"), "judged")
     first = judged.groupBy("query_id").agg(F.min_by("op", "n").alias("first_op"))
     same = judged.join(first, "query_id").where("op = first_op").groupBy("query_id").agg(
         F.first("op").alias("op"), F.array_sort(F.collect_list("memory_id")).alias("target_ids"), F.max("similarity").alias("similarity")
@@ -191,6 +192,7 @@ def apply(memories: DataFrame, edges: DataFrame, decisions: DataFrame) -> tuple[
     link is reversed.  Retractions spare targets newer than the fact and take the fact
     along once anything went.  Reinforced targets gain 0.1 importance.
     """
+    decisions = materialize(decisions, "decisions")  # read for every kind of outcome
     facts = memories.select(F.col("memory_id").alias("query_id"), F.col("parent_id").alias("raw_id"), F.col("created_at").alias("fact_at"))
     targets = memories.select(F.col("memory_id").alias("target_id"), F.col("parent_id").alias("old_raw_id"), F.col("created_at").alias("old_at"), is_alive().alias("alive"))
     times = memories.select("memory_id", "created_at")
