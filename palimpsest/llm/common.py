@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.storage import materialize
+
+__all__ = ["bounded_sample", "document_frequency", "fold", "held_out", "map_batches", "materialize", "plain_words", "read", "share", "space_words", "table_batch"]
+
 _PLAIN = bytes(
     (b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
 )
@@ -41,41 +43,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only if unset."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts ``value``; the function returned gives it back on an executor.
 
+    The value travels with the code of its class, which a plain broadcast would
+    look up on the worker.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+    def get() -> object:
+        return cloudpickle.loads(sent.value)
 
-    This cuts lineage with files that outlive any executor.  They are removed
-    when the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already; the files are only scratch
-            return
+    return get
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:

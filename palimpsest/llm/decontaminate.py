@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import document_frequency, map_batches, plain_words, table_batch
+from palimpsest.llm.common import document_frequency, map_batches, plain_words, share, table_batch
 
 WIDTH, BLOCK_WORDS = 8, 1_000_000
 
@@ -80,14 +80,13 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, width: int, block_words: int) -> list:
     """A broadcast index for each block of items; rarity comes from all documents."""
-    sc = docs.sparkSession.sparkContext
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("binary")).toLocalIterator()
     out, block, size = [], [], 0
 
     def close():
         vocabulary = {w for _, words in block for w in words}
         rarity = document_frequency(docs, text_col, vocabulary)
-        out.append(sc.broadcast(Index(block, rarity, width)))
+        out.append(share(docs.sparkSession, Index(block, rarity, width)))
 
     for item, text in rows:
         words = plain_words(bytes(text or b""))
@@ -143,7 +142,7 @@ def scan(
     if len(blocks) == 1:
 
         def make(index=blocks[0]):
-            found = index.value
+            found = index()
 
             def step(batch):
                 out = []
@@ -163,7 +162,7 @@ def scan(
 
     def make_part(index):
         def make():
-            found = index.value
+            found = index()
 
             def step(batch):
                 out = []
@@ -200,26 +199,26 @@ def scan(
     return docs.select(F.col(id_col).alias("doc_id"), key.alias("key")).join(done, "key").drop("key")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    width: int = WIDTH, least_items: int = 2, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    least = options.pop("least_items", 2)
-    blocks = indexes(
-        docs, benchmark, text_col, options.pop("item_col", "item_id"), options.pop("item_text", "text"),
-        options.pop("width", WIDTH), options.pop("block_words", BLOCK_WORDS),
-    )
+    blocks = indexes(docs, benchmark, text_col, item_col, item_text, width, block_words)
     at = docs.columns.index(text_col)
     if len(blocks) == 1:
 
         def make(index=blocks[0]):
-            found = index.value
+            found = index()
 
             def step(batch):
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
-                return batch.filter(pa.array([len(found.hits(plain_words(t or b""))[1]) < least for t in texts], pa.bool_()))
+                return batch.filter(pa.array([len(found.hits(plain_words(t or b""))[1]) < least_items for t in texts], pa.bool_()))
 
             return step
 
         return map_batches(docs, make, docs.schema)
-    rows = scan(docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("doc_id"), text_col), benchmark, text_col=text_col, least_items=least)
-    bad = rows.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_bad"), "left_anti")
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    bad = scan(keyed, benchmark, "_key", "_text", item_col, item_text, width, least_items, block_words).where("contaminated")
+    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), key == F.col("_bad"), "left_anti")

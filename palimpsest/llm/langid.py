@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, held_out, map_batches, table_batch
+from palimpsest.llm.common import fold, held_out, map_batches, share, table_batch
 
 _SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -151,11 +151,11 @@ def fit(docs: DataFrame, train: DataFrame, limits: Limits = Limits(), lang_col:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        model, cache = shared.value, {}
+        model, cache = shared(), {}
 
         def step(batch):
             out = [model.predict(t, cache) for t in batch.column(1).to_pylist()]

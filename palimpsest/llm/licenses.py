@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import document_frequency, map_batches, plain_words, table_batch
+from palimpsest.llm.common import document_frequency, map_batches, plain_words, share, table_batch
 
 # Phrases whose every place is reported, with their labels.
 BASE_PHRASES = (
@@ -167,11 +167,11 @@ def build(docs: DataFrame, text_col: str = "text", **options) -> Index:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document with its base places, labels and best agreement."""
-    index = docs.sparkSession.sparkContext.broadcast(build(docs, text_col, **options))
+    index = share(docs.sparkSession, build(docs, text_col, **options))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        find = index.value.scan
+        find = index().scan
 
         def step(batch):
             out = [find(t) for t in batch.column(1).to_pylist()]

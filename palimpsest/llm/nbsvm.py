@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_sample, fold, held_out, map_batches, materialize, table_batch
+from palimpsest.llm.common import bounded_sample, fold, held_out, map_batches, materialize, share, table_batch
 from palimpsest.llm.toxicity import THRESHOLD, logistic
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -153,11 +153,11 @@ def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_co
     if len(seen) < 2:
         return Constant(seen.get(1, 0) / total if total else 0.0)
     names = _vocabulary(train, limits)
-    shared = docs.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)})
+    shared = share(docs.sparkSession, {n: i for i, n in enumerate(names)})
     out = pa.schema([("id", pa.string()), ("y", pa.int32()), ("f", pa.list_(pa.int32()))])
 
     def make():
-        known = shared.value
+        known = shared()
 
         def step(batch):
             rows = [sorted(known[f] for f in features(t) if f in known) for t in batch.column(2).to_pylist()]
@@ -192,11 +192,11 @@ def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_co
 
 def score(docs: DataFrame, model: Model | Constant, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        model = shared.value
+        model = shared()
 
         def step(batch):
             schema = pa.schema([batch.schema.field(0), ("score", pa.float64())])

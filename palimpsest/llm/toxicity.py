@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples, exact over TF-IDF cosine.
 
-Terms are words of the labelled sample whose presence goes with the label
-(chi-squared); a word's second and third occurrence are terms of their own, so
-that a repeated word changes a vector's direction.  Inverse document frequencies
-come from all documents.
+Terms are words of the labelled sample, and beginnings of words, whose presence
+goes with the label (chi-squared); beginnings stand for inflected and compounded
+forms.  A term's second and third occurrence are terms of their own, so that
+repetition changes a vector's direction.  Inverse document frequencies come from all
+documents.
 
 The examples with any term lie in blocks of an inverted index that keeps each
 term's largest weight in each block.  A query's bound on a block is the sum of
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_sample, document_frequency, fold, held_out, map_batches, materialize, plain_words, table_batch
+from palimpsest.llm.common import bounded_sample, fold, held_out, map_batches, materialize, plain_words, share, table_batch
 
 THRESHOLD = 0.3
 
@@ -45,8 +46,9 @@ class Limits:
     negatives: int = 8000
     terms: int = 2000
     least_df: int = 4
-    least_chi2: float = 18.0
+    least_chi2: float = 30.0
     levels: int = 3
+    beginnings: tuple[int, ...] = (4, 5, 6, 7, 8)
     neighbours: int = 15
     block: int = 64
     eps: float = 0.05
@@ -123,16 +125,33 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> tu
     return float(a), float(b)
 
 
+def term_counts(text: bytes | None, beginnings: tuple[int, ...], known: frozenset | None = None) -> Counter:
+    """How often each whole word, and each beginning (marked by a star), occurs.
+
+    With ``known`` only its terms are counted.
+    """
+    counts: Counter = Counter()
+    for word, n in Counter(plain_words(text or b"")).items():
+        if known is None or word in known:
+            counts[word] += n
+        for size in beginnings:
+            if len(word) <= size:
+                break
+            start = word[:size] + b"*"
+            if known is None or start in known:
+                counts[start] += n
+    return counts
+
+
 class Model:
-    def __init__(self, terms: dict[tuple[bytes, int], int], idf: np.ndarray, levels: int):
-        self.terms, self.idf, self.levels = terms, idf, levels
+    def __init__(self, terms: dict[tuple[bytes, int], int], idf: np.ndarray, limits: Limits):
+        self.terms, self.idf, self.levels, self.beginnings = terms, idf, limits.levels, limits.beginnings
         self.words = frozenset(w for w, _ in terms)
         self.index: Index | None = None
         self.slope, self.offset, self.plain = 1.0, 0.0, 0.0
 
     def vector(self, text: bytes | None) -> dict[int, float]:
-        words = self.words
-        counts = Counter(w for w in plain_words(text or b"") if w in words)
+        counts = term_counts(text, self.beginnings, self.words)
         found = sorted(self.terms[w, k] for w, n in counts.items() for k in range(1, min(n, self.levels) + 1) if (w, k) in self.terms)
         norm = math.sqrt(sum(self.idf[t] ** 2 for t in found))
         return {t: self.idf[t] / norm for t in found} if norm else {}
@@ -156,7 +175,7 @@ def _terms(train: DataFrame, positives: int, total: int, limits: Limits) -> list
         every, yes = Counter(), Counter()
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(plain_words(text or b""))
+                words = set(term_counts(text, limits.beginnings))
                 every.update(words)
                 if label:
                     yes.update(words)
@@ -174,6 +193,25 @@ def _terms(train: DataFrame, positives: int, total: int, limits: Limits) -> list
     return [bytes(r.word) for r in best.orderBy(F.desc("chi2"), "word").limit(limits.terms).collect()]
 
 
+def _frequencies(docs: DataFrame, text_col: str, words: list[bytes], limits: Limits) -> dict[tuple[bytes, int], int]:
+    """In how many of all documents each term occurs at least 1, 2, ... times."""
+    known = share(docs.sparkSession, frozenset(words))
+    out = pa.schema([("word", pa.binary()), ("level", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        terms, counts = known(), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                here = term_counts(text, limits.beginnings, terms)
+                counts.update((w, k) for w, n in here.items() for k in range(1, min(n, limits.levels) + 1))
+        if counts:
+            yield table_batch(out, [w for w, _ in counts], [k for _, k in counts], list(counts.values()))
+
+    part = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "word binary, level int, n long")
+    rows = part.groupBy("word", "level").agg(F.sum("n").alias("n")).collect()  # at most terms x levels
+    return {(bytes(r.word), r.level): r.n for r in rows}
+
+
 def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_col: str = "text", id_col: str = "doc_id") -> Model:
     """``labelled``: (id, y) rows that may be learned from; y is 0 or 1."""
     once = labelled.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
@@ -185,20 +223,20 @@ def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_co
     seen = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     yes, no = seen.get(1, 0), seen.get(0, 0)
     if not yes or not no:
-        empty = Model({}, np.zeros(0), limits.levels)
+        empty = Model({}, np.zeros(0), limits)
         empty.plain = 1.0 if yes else 0.0
         return empty
     words = _terms(train, yes, yes + no, limits)
-    found = document_frequency(docs, text_col, words, limits.levels)
+    found = _frequencies(docs, text_col, words, limits)
     total = docs.count()
     keys = sorted(found)
     terms = {key: t for t, key in enumerate(keys)}
-    model = Model(terms, np.array([math.log((total + 1) / (found[key] + 1)) + 1 for key in keys]), limits.levels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = Model(terms, np.array([math.log((total + 1) / (found[key] + 1)) + 1 for key in keys]), limits)
+    shared = share(docs.sparkSession, model)
     out = pa.schema([("id", pa.string()), ("y", pa.int32()), ("terms", pa.list_(pa.int32()))])
 
     def make():
-        vector = shared.value.vector
+        vector = shared().vector
 
         def step(batch):
             vectors = [sorted(vector(t)) for t in batch.column(2).to_pylist()]
@@ -234,11 +272,11 @@ def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_co
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, score, predicted, and the nearest examples as evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        model, cache = shared.value, {}
+        model, cache = shared(), {}
 
         def step(batch):
             out = []
