@@ -4,9 +4,11 @@ A classifier fitted on a labelled table gives every document a posterior over
 domains.  Nonnegative document rates are then fitted so that the expected tokens
 of each domain, the sum of rate x tokens x posterior, match the targets.
 
-The classifier is naive Bayes over word presence on a bounded list of the words
-that tell most, learned from a bounded sample of labelled documents; posteriors
-are tempered by the number of words that spoke, which keeps them soft.
+The classifier is multinomial logistic regression over the presence of the words
+that tell most about the domains, a bounded list.  It is fitted on a bounded sample of
+labelled documents, of which only the listed words' numbers come to the driver; the
+penalty keeps posteriors soft where words leave doubt, and their mean over the sample
+is each domain's share of it.
 
 The fit is projected-gradient least squares from rate 1.  Change is measured in
 tokens, and the residual is scaled by the inverse of sum(tokens x p x p'), so one
@@ -23,15 +25,18 @@ nearly as possible.
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_sample, materialize
 
 BREAK = r"[\x20\x09-\x0D]+"
-SAMPLE, WORDS, LEAST = 4000, 2000, 5
+SAMPLE, WORDS, LEAST, PENALTY = 6000, 500, 5, 3.0
 
 
 def tokens(text: Column) -> Column:
@@ -40,47 +45,102 @@ def tokens(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BREAK))
 
 
-def lexicon(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE, words: int = WORDS) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, log priors and a table (word, weights) of at most ``words`` rows."""
+@dataclass(frozen=True)
+class Model:
+    """Domains, their scores for a text without any listed word, and word weights."""
+
+    names: list[str]
+    base: list[float]
+    table: DataFrame  # word, weights: one row for each listed word
+
+
+def _fit(rows: list[list[int]], labels: list[int], n_words: int, n_domains: int, penalty: float, steps: int = 400) -> np.ndarray:
+    """Weights (words + 1, domains) of the penalised likelihood, by accelerated gradient ascent; the last row is the base."""
+    x = np.zeros((len(rows), n_words + 1))
+    for i, row in enumerate(rows):
+        x[i, row] = 1.0
+    x[:, -1] = 1.0
+    y = np.eye(n_domains)[labels]
+    ridge = np.full((n_words + 1, 1), penalty)
+    ridge[-1] = 1e-6
+    v = np.ones(n_words + 1)
+    for _ in range(30):  # the largest curvature, for a safe step
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v)
+    step = 1.0 / (0.5 * float(v @ (x.T @ (x @ v))) + penalty)
+    w = np.zeros((n_words + 1, n_domains))
+    ahead, pace = w, 1.0
+    for _ in range(steps):
+        score = x @ ahead
+        score -= score.max(axis=1, keepdims=True)
+        p = np.exp(score)
+        p /= p.sum(axis=1, keepdims=True)
+        new = ahead + step * (x.T @ (y - p) - ridge * ahead)
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = new + (pace - 1) / faster * (new - w)
+        w, pace = new, faster
+    return w
+
+
+def lexicon(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE, words: int = WORDS, penalty: float = PENALTY) -> Model:
+    """Fits the classifier on at most ``sample`` labels and ``words`` words."""
     spark = docs.sparkSession
-    picked = bounded_sample(labelled.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")), "id", sample)
+    rows = labelled.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
+    picked = bounded_sample(rows.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")), "id", sample)
     picked = materialize(picked, "sample")  # at most `sample` rows
     train = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("domain", F.array_distinct(tokens(F.col(text_col))).alias("words"))
-    train = materialize(train, "train")
+    train = materialize(train.withColumn("row", F.monotonically_increasing_id()), "train")
     have = sorted((r["domain"], r["n"]) for r in train.groupBy("domain").agg(F.count("*").alias("n")).collect())
     if not have:
-        return ["unlabelled"], [0.0], spark.createDataFrame([], "word string, weights array<double>")
+        return Model(["unlabelled"], [0.0], _word_table(spark, [], []))
     names, sizes = [d for d, _ in have], [n for _, n in have]
     total = sum(sizes)
     df = train.select("domain", F.explode("words").alias("word")).groupBy("word").agg(
         F.count("*").alias("df"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(names))
     )
-    weights, tells = [], F.lit(0.0)
+    tells = F.lit(0.0)
     for k, size in enumerate(sizes):
-        inside = (F.col(f"n{k}") + 0.5) / (size + 1.0)
-        outside = (F.col("df") - F.col(f"n{k}") + 0.5) / (total - size + 1.0)
-        weights.append(F.log(inside / outside))
         expected = F.col("df") * (size / total)
         tells = tells + (F.col(f"n{k}") - expected) * (F.col(f"n{k}") - expected) / expected  # chi-squared
     best = df.where(F.col("df") >= LEAST).withColumn("tells", F.round(tells, 9)).orderBy(F.desc("tells"), "word").limit(words)
-    return names, [math.log(n / total) for n in sizes], materialize(best.select("word", F.array(*weights).alias("weights")), "lexicon")
+    listed = [r["word"] for r in best.select("word").collect()]
+    place = {w: k for k, w in enumerate(listed)}
+    told = train.select("domain", F.filter("words", lambda w: w.isin(*listed)).alias("words")) if listed else train.select("domain", F.array().cast("array<string>").alias("words"))
+    sampled = [(names.index(r["domain"]), [place[w] for w in r["words"]]) for r in told.collect()]  # bounded by sample x words
+    w = _fit([r for _, r in sampled], [d for d, _ in sampled], len(listed), len(names), penalty)
+    return Model(names, w[-1].tolist(), _word_table(spark, listed, w[:-1].tolist()))
+
+
+def _word_table(spark: SparkSession, words: list[str], weights: list[list[float]]) -> DataFrame:
+    rows = json.dumps([{"word": w, "weights": x} for w, x in zip(words, weights, strict=True)])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<word:string,weights:array<double>>>")).alias("r")).select("r.*")
+
+
+def _scores(slim: DataFrame, model: Model) -> DataFrame:
+    """carried, n_tokens and l0..lK, log scores, from (carried, n_tokens, distinct words)."""
+    numbered = slim.withColumn("row", F.monotonically_increasing_id())  # before the explode: one number a document
+    rows = numbered.select("carried", "row", "n_tokens", F.explode_outer("words").alias("word"))
+    spoke = rows.join(F.broadcast(model.table), "word", "left")  # a bounded list
+    logs = [(F.lit(b) + F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0))).alias(f"l{k}") for k, b in enumerate(model.base)]
+    return spoke.groupBy("row").agg(F.any_value("carried").alias("carried"), F.any_value("n_tokens").alias("n_tokens"), *logs)
+
+
+def _posteriors(k: int) -> Column:
+    logs = [F.col(f"l{i}") for i in range(k)]
+    top = F.greatest(*logs) if k > 1 else logs[0]
+    each = [F.exp(x - top) for x in logs]
+    whole = each[0]
+    for x in each[1:]:
+        whole = whole + x
+    return F.array(*(x / whole for x in each))
 
 
-def memberships(docs: DataFrame, model: tuple[list[str], list[float], DataFrame], carry: list[Column], text_col: str = "text") -> DataFrame:
+def memberships(docs: DataFrame, model: Model, carry: list[Column], text_col: str = "text") -> DataFrame:
     """The ``carry`` columns, n_tokens and p0..pK of every document."""
-    names, priors, table = model
-    slim = docs.select(F.struct(*carry).alias("carried"), F.monotonically_increasing_id().alias("row"), tokens(F.col(text_col)).alias("words"))
-    rows = slim.select(
-        "carried", "row", F.size("words").cast("long").alias("n_tokens"), F.explode_outer(F.array_distinct("words")).alias("word")
-    )
-    spoke = rows.join(F.broadcast(table), "word", "left")  # at most `words` rows
-    logs = [F.sum(F.get("weights", F.lit(k))).alias(f"l{k}") for k in range(len(names))]
-    by_row = spoke.groupBy("row").agg(F.any_value("carried").alias("carried"), F.any_value("n_tokens").alias("n_tokens"), F.count("weights").alias("spoke"), *logs)
-    soft = [F.lit(prior) + F.coalesce(F.col(f"l{k}"), F.lit(0.0)) / F.sqrt(F.col("spoke") + 1.0) for k, prior in enumerate(priors)]
-    top = F.greatest(*soft) if len(soft) > 1 else soft[0]
-    scored = by_row.select("carried", "n_tokens", F.transform(F.array(*soft), lambda x: F.exp(x - top)).alias("e"))
-    whole = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
-    return scored.select("carried.*", "n_tokens", *((F.get("e", F.lit(k)) / whole).alias(f"p{k}") for k in range(len(names))))
+    words = docs.select(F.struct(*carry).alias("carried"), tokens(F.col(text_col)).alias("words"))
+    slim = words.select("carried", F.size("words").cast("long").alias("n_tokens"), F.array_distinct("words").alias("words"))
+    soft = _scores(slim, model).select("carried", "n_tokens", _posteriors(len(model.names)).alias("p"))
+    return soft.select("carried.*", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(len(model.names))))
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -138,7 +198,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry:
     its mean over equal rates is the rate.
     """
     model = lexicon(docs, labelled, id_col, text_col, **options)
-    names = model[0]
+    names = model.names
     members = materialize(memberships(docs, model, carry, text_col), "members")
     kept = [c for c in members.columns if c != "n_tokens" and not (c[0] == "p" and c[1:].isdigit())]
     rate = fit_rates(members, names, targets, budget)
@@ -148,6 +208,22 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry:
     return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
 
 
+def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """All columns of ``docs`` with n_tokens, rate and copies.
+
+    A rate is a function of the text, so rates are kept once a text, by its digest,
+    and joined back; texts themselves move only in that join.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    rated = mix(docs, labelled, targets, [digest.alias("_digest")], id_col=id_col, text_col=text_col, **options)
+    once = rated.groupBy("_digest").agg(F.first("n_tokens").alias("n_tokens"), F.first("rate").alias("rate"))
+    once = materialize(once, "rates")
+    mine = docs.drop("n_tokens", "rate", "copies").withColumn("_digest", digest)
+    rows = mine.join(once, "_digest").drop("_digest")
+    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
+
+
 def quality_domains(labels: DataFrame) -> DataFrame:
     """The labelled table of this repository's mixes: quality and toxicity together."""
     return labels.where("quality is not null and toxic is not null").select(
@@ -155,5 +231,11 @@ def quality_domains(labels: DataFrame) -> DataFrame:
     )
 
 
+def civility_domains(labels: DataFrame) -> DataFrame:
+    """Toxicity alone, for documents that have passed quality rules."""
+    return labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("civil").alias("domain"))
+
+
 # Share of tokens that each domain should have.
-TARGETS = {"good_civil": 0.85, "good_toxic": 0.05, "poor_civil": 0.08, "poor_toxic": 0.02}
+TARGETS = {"good_civil": 0.82, "good_toxic": 0.08, "poor_civil": 0.08, "poor_toxic": 0.02}
+CIVILITY_TARGETS = {"civil": 0.92, "toxic": 0.08}

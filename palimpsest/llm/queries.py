@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palimpsest.llm import chat, compression, decontaminate, langid, licenses, mixing, nbsvm, secrets, simhash, toxicity
 from palimpsest.llm.common import read
 
@@ -52,6 +53,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +70,7 @@ QUERIES = {
         op8_quality_nbsvm,
         op9_language_id,
         op10_decontaminate,
+        pipeline,
     )
 }
 
