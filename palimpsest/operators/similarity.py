@@ -104,13 +104,13 @@ def block_join(queries: DataFrame, stored: DataFrame, k: int | None = None, leas
     s, s_parts = dealt(s, "s")
     parts = q_parts.join(s_parts, "key")  # one row a key; keys on one side only meet nothing
     mine_q, mine_s = F.pmod(F.xxhash64("query_id"), "q_parts").cast("int"), F.pmod(F.xxhash64("memory_id"), "s_parts").cast("int")
-    left = q.join(parts, "key").select("key", mine_q.alias("qp"), F.explode(F.sequence(F.lit(0), F.col("s_parts") - 1)).alias("sp"), "query_id", "embedding")
-    right = s.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qp"), mine_s.alias("sp"), "memory_id", "embedding")
+    left = q.join(parts, "key").select(F.col("key").alias("key"), mine_q.alias("qp"), F.explode(F.sequence(F.lit(0), F.col("s_parts") - 1)).alias("sp"), F.col("query_id").alias("id"), F.col("embedding").alias("vector"))
+    right = s.join(parts, "key").select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qp"), mine_s.alias("sp"), F.col("memory_id").alias("id"), F.col("embedding").alias("vector"))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "memory_id": [], "similarity": []}).astype({"query_id": "int64", "memory_id": "int64"})
-        found = _best(a["query_id"].to_numpy(), _matrix(list(a["embedding"]), dim), b["memory_id"].to_numpy(), _matrix(list(b["embedding"]), dim), k, least, skip_self)
+        found = _best(a["id"].to_numpy(), _matrix(list(a["vector"]), dim), b["id"].to_numpy(), _matrix(list(b["vector"]), dim), k, least, skip_self)
         return pd.DataFrame(dict(zip(("query_id", "memory_id", "similarity"), found, strict=True)))
 
     cells = ["key", "qp", "sp"]

@@ -57,8 +57,12 @@ _STATE = "turns long, last_at long, active boolean"
 _OUT = "session_id long, turns long, last_at long, active boolean"
 
 
-def session_states(log: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Running state of sessions from (session_id, op, at): counts turns, closes, forgets after a time."""
+def session_states(log: DataFrame, ttl_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Running state of sessions from (session_id, op, at in seconds).
+
+    Counts turns and closes; a session is forgotten once the watermark has passed its
+    last line by ``ttl_seconds``.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,10 +74,11 @@ def session_states(log: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
             last = max(last, int(pdf["at"].max()))
             active = active and not bool((pdf["op"] == "close").any())
         state.update((turns, last, active))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max((last + ttl_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"session_id": [key[0]], "turns": [turns], "last_at": [last], "active": [active]})
 
-    return log.groupBy("session_id").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = log.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", late)
+    return timed.groupBy("session_id").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def every_batch(rows: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None) -> StreamingQuery:
