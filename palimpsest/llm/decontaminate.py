@@ -222,3 +222,20 @@ def clean(
     keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
     bad = scan(keyed, benchmark, "_key", "_text", item_col, item_text, width, least_items, block_words).where("contaminated")
     return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), key == F.col("_bad"), "left_anti")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select cast(item_id as varchar) as item, w, least({WIDTH}, len(w)) as size from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
+g as (select distinct item, size, array_to_string(w[k:k + size - 1], ' ') as words from (select *, unnest(range(1, len(w) - size + 2)) as k from i)),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as k from d),
+z as (select distinct size from g),
+s as (select doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') as words from p cross join z where k + size - 1 <= len(w)),
+o as (select doc_id, k, s.size, item from s join g on s.size = g.size and s.words = g.words),
+h as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(k, k + size)) as x from o) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from o) group by 1)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""

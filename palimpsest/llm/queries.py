@@ -50,7 +50,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
