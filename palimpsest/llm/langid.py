@@ -17,7 +17,6 @@ are ``und``.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import fold, held_out, map_batches, share, table_batch
 
 _SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -92,7 +90,7 @@ class Model:
         if not text or not self.names:
             return "und", 0.0
         words = letters(text)
-        if not words or (not _LETTER.search(text)):
+        if not words or not any(c.isalpha() for c in text):
             return "und", 0.0
         total = np.zeros(len(self.names))
         counts = Counter(words)

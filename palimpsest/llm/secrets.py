@@ -173,16 +173,3 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scop
     out = {c: F.col("carried").getField(c) for c in columns}
     out[text_col] = clean
     return merged.select(*(v.alias(c) for c, v in out.items()))
-
-
-def _base_oracle(kind: str, pattern: str, least: int) -> str:
-    pattern = pattern.replace("'", "''")
-    good = f"len(regexp_extract(m[i], '{pattern}', 2)) >= {least}" if least else "true"
-    return f"""select doc_id, '{kind}' as kind, {[k for k, _, _ in KINDS].index(kind)} as o,
-  list_sum([len(x) for x in p[1:i]]) + coalesce(list_sum([len(x) for x in m[1:i-1]]), 0) as s, len(m[i]) as n
- from (select doc_id, m, p, unnest(range(1, len(m) + 1)) as i from
-  (select doc_id, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as p
-   from (select doc_id, coalesce(text, '') as t from documents)))
- where {good}"""
-
-

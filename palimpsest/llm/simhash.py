@@ -29,7 +29,6 @@ gives an empty result.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -268,7 +267,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     if again.isEmpty():
         return kept
     return kept.withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
-
-
-def tables(m: int, radius: int = RADIUS) -> int:
-    return comb(m, m - radius)
