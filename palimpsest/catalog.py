@@ -33,6 +33,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 NOW = fx.NOW
 ALIVE = "phase not in ('Tombstone', 'Invalidated')"
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# distinct pairs of neighbouring characters, in time linear in the text
+PAIRS = "list_distinct([p[1] || p[2] for p in list_zip(regexp_extract_all({0}, '(?s).'), regexp_extract_all({0}, '(?s).')[2:], true)])"
 
 
 def _ctes(*names: str) -> str:
@@ -60,9 +62,9 @@ def _ctes(*names: str) -> str:
           from hits h join m using (memory_id) join q using (query_id)
           join (select query_id, {LOW.format("text")} as lowq,
              [x for x in regexp_split_to_array({LOW.format("text")}, '[ \\t\\n\\x0b\\f\\r]+') if strlen(x) >= 2] as toks,
-             list_distinct([substring({LOW.format("text")}, i::int, 2) for i in range(1, greatest(length(text) - 1, 1) + 1)]) as qb from q) t using (query_id)
+             {PAIRS.format(LOW.format("text"))} as qb from q) t using (query_id)
           join (select memory_id, {LOW.format("content")} as lowc,
-             case when length(content) >= 2 then list_distinct([substring({LOW.format("content")}, i::int, 2) for i in range(1, greatest(length(content) - 1, 1) + 1)]) else [] end as cb from m) l using (memory_id)
+             case when length(content) >= 2 then {PAIRS.format(LOW.format("content"))} else [] end as cb from m) l using (memory_id)
           left join (select from_id, count(*) as degree from edges group by 1) d on d.from_id = h.memory_id
           left join (select a.query_id, a.memory_id, count(*) as connected from hits a join edges e on e.from_id = a.memory_id
              join hits b on b.query_id = a.query_id and b.memory_id = e.to_id and b.rank < a.rank group by 1, 2) c
@@ -154,11 +156,11 @@ def supersession_closure(spark, sf):
 @query(
     _ctes("hits", "edges")
     + SUPERSEDED
-    + """, olds as (select m.agent_id, r.superseded_at, m.content, m.parent_id from replaced r join m using (memory_id) where m.layer = 'Derived'),
+    + f""", olds as (select m.agent_id, r.superseded_at, m.content, m.parent_id from replaced r join m using (memory_id) where m.layer = 'Derived'),
       texts as (select agent_id, content, max(superseded_at) as top_at from (select agent_id, superseded_at, content from olds
         union all select o.agent_id, o.superseded_at, p.content from olds o join m p on p.memory_id = o.parent_id) group by 1, 2),
-      b as (select agent_id, top_at, list_distinct([substring(content, i::int, 2) for i in range(1, greatest(length(content) - 1, 1) + 1)]) as g from texts where length(content) >= 2),
-      c as (select memory_id, agent_id, created_at, case when length(content) >= 2 then list_distinct([substring(content, i::int, 2) for i in range(1, greatest(length(content) - 1, 1) + 1)]) else [] end as g
+      b as (select agent_id, top_at, {PAIRS.format("content")} as g from texts where length(content) >= 2),
+      c as (select memory_id, agent_id, created_at, case when length(content) >= 2 then {PAIRS.format("content")} else [] end as g
         from m where memory_id in (select memory_id from hits))
       select query_id, memory_id from hits where memory_id not in
        (select c.memory_id from c join b on c.agent_id = b.agent_id and c.created_at < b.top_at and len(list_intersect(c.g, b.g)) / len(b.g) >= 0.9)"""
@@ -233,8 +235,8 @@ def recall_confidential(spark, sf):
      select doc_id, round(greatest(case when len(toks) > 0 then len([w for w in toks if contains(lowc, w)]) / len(toks) else 0 end,
        case when length(q) >= 2 then len(list_intersect(qb, cb)) / len(qb) else 0 end), 6) as score from (
        select doc_id, q, {LOW.format("content")} as lowc, [x for x in regexp_split_to_array({LOW.format("q")}, '[ \\t\\n\\x0b\\f\\r]+') if strlen(x) >= 2] as toks,
-        list_distinct([substring({LOW.format("q")}, i::int, 2) for i in range(1, greatest(length(q) - 1, 1) + 1)]) as qb,
-        case when length(content) >= 2 then list_distinct([substring({LOW.format("content")}, i::int, 2) for i in range(1, greatest(length(content) - 1, 1) + 1)]) else [] end as cb from d)"""
+        {PAIRS.format(LOW.format("q"))} as qb,
+        case when length(content) >= 2 then {PAIRS.format(LOW.format("content"))} else [] end as cb from d)"""
 )
 def keyword_score(spark, sf):
     docs = fx.table(spark, sf, "documents")
@@ -242,9 +244,9 @@ def keyword_score(spark, sf):
 
 
 @query(
-    """select doc_id, case when length(a) >= 2 then round(len(list_intersect(ab, bb)) / len(ab), 6) else 0 end as recall from (
-      select doc_id, a, list_distinct([substring(a, i::int, 2) for i in range(1, greatest(length(a) - 1, 1) + 1)]) as ab,
-       case when length(text) >= 2 then list_distinct([substring(text, i::int, 2) for i in range(1, greatest(length(text) - 1, 1) + 1)]) else [] end as bb
+    f"""select doc_id, case when length(a) >= 2 then round(len(list_intersect(ab, bb)) / len(ab), 6) else 0 end as recall from (
+      select doc_id, a, {PAIRS.format("a")} as ab,
+       case when length(text) >= 2 then {PAIRS.format("text")} else [] end as bb
       from (select doc_id, text, substring(text, 3, 50) as a from documents))"""
 )
 def bigram_overlap(spark, sf):
