@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which fewer than two benchmark items have windows."""
+    """Documents without a whole eight-word window of a benchmark item, and without two shorter items."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 

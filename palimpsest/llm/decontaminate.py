@@ -15,6 +15,11 @@ blocks are merged by a row key.
 Defined results: null or wordless text has no words, hits or items; a null item
 id is written as the empty string; repeated items count once per id; repeated
 documents are judged one by one; an empty benchmark hits nothing.
+
+A scan calls a document contaminated if ``least_items`` items have windows in it.
+Cleaning also drops a document in which one window of at least ``lone_words`` words
+occurs, as a whole passage of a single item is a leak too; a shorter item, which
+may stand there by chance, needs a second one.
 """
 
 from __future__ import annotations
@@ -55,9 +60,9 @@ class Index:
             self.by_word[window[offset]].append((offset, window, tuple(sorted(ids))))
         self.by_word = dict(self.by_word)
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged intervals of hit words, and the items whose windows occur."""
-        spans, found, index, n = [], set(), self.by_word, len(words)
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
+        """Merged intervals of hit words, the items whose windows occur, and the longest window's words."""
+        spans, found, longest, index, n = [], set(), 0, self.by_word, len(words)
         for at, word in enumerate(words):
             if word in index:
                 for offset, window, ids in index[word]:
@@ -65,7 +70,8 @@ class Index:
                     if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
                         spans.append((start, start + len(window)))
                         found.update(ids)
-        return merge(spans), found
+                        longest = max(longest, len(window))
+        return merge(spans), found, longest
 
 
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,14 +106,18 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     return out
 
 
-def digest(n_words: int, spans: list[tuple[int, int]], items: Iterable[str], least: int) -> tuple:
+def leaked(items: Iterable[str], longest: int, least: int, lone: int | None) -> bool:
+    return len(items) >= least or (lone is not None and longest >= lone)
+
+
+def digest(n_words: int, spans: list[tuple[int, int]], items: Iterable[str], longest: int, least: int, lone: int | None) -> tuple:
     items = sorted(items)
     return (
         n_words,
         sum(b - a for a, b in spans),
         len(items),
         hashlib.sha256(",".join(items).encode()).hexdigest(),
-        len(items) >= least,
+        leaked(items, longest, least, lone),
         items,
     )
 
@@ -135,6 +145,7 @@ def scan(
     width: int = WIDTH,
     least_items: int = 2,
     block_words: int = BLOCK_WORDS,
+    lone_words: int | None = None,
 ) -> DataFrame:
     """One row per document: hit words, occurring items and the verdict."""
     blocks = indexes(docs, benchmark, text_col, item_col, item_text, width, block_words)
@@ -148,7 +159,7 @@ def scan(
                 out = []
                 for text in batch.column(1).to_pylist():
                     words = plain_words(text or b"")
-                    out.append(digest(len(words), *found.hits(words), least_items))
+                    out.append(digest(len(words), *found.hits(words), least_items, lone_words))
                 return table_batch(pa.schema([batch.schema.field(0), *OUT]), batch.column(0), *zip(*out, strict=True))
 
             return step
@@ -158,7 +169,7 @@ def scan(
     # several blocks: a document's hits are a function of its text, so blocks meet on the text's digest
     key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     slim = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
-    part = pa.schema([("key", pa.string()), ("n", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    part = pa.schema([("key", pa.string()), ("n", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 
     def make_part(index):
         def make():
@@ -168,28 +179,28 @@ def scan(
                 out = []
                 for text in batch.column(1).to_pylist():
                     words = plain_words(text or b"")
-                    spans, ids = found.hits(words)
-                    out.append((len(words), [x for s in spans for x in s], sorted(ids)))
+                    spans, ids, longest = found.hits(words)
+                    out.append((len(words), [x for s in spans for x in s], sorted(ids), longest))
                 return table_batch(part, batch.column(0), *zip(*out, strict=True))
 
             return step
 
         return make
 
-    passes = [map_batches(slim, make_part(b), "key string, n long, spans array<long>, items array<string>") for b in blocks]
+    passes = [map_batches(slim, make_part(b), "key string, n long, spans array<long>, items array<string>, longest long") for b in blocks]
     rows = reduce(DataFrame.unionByName, [p.withColumn("block", F.lit(i)) for i, p in enumerate(passes)])
     # copies of a text give equal rows: one for each text and block
-    once = rows.groupBy("key", "block").agg(F.first("n").alias("n"), F.first("spans").alias("spans"), F.first("items").alias("items"))
+    once = rows.groupBy("key", "block").agg(F.first("n").alias("n"), F.first("spans").alias("spans"), F.first("items").alias("items"), F.first("longest").alias("longest"))
     together = once.groupBy("key").agg(
         F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"),
     )
 
     def make_last():
         def step(batch):
             out = [
-                digest(n, merge(zip(s[::2], s[1::2], strict=True)), ids, least_items)
-                for n, s, ids in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
+                digest(n, merge(zip(s[::2], s[1::2], strict=True)), ids, longest, least_items, lone_words)
+                for n, s, ids, longest in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True)
             ]
             return table_batch(pa.schema([batch.schema.field(0), *OUT]), batch.column(0), *zip(*out, strict=True))
 
@@ -201,9 +212,9 @@ def scan(
 
 def clean(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    width: int = WIDTH, least_items: int = 2, block_words: int = BLOCK_WORDS,
+    width: int = WIDTH, least_items: int = 2, block_words: int = BLOCK_WORDS, lone_words: int | None = WIDTH,
 ) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents without a leak, with all their columns."""
     blocks = indexes(docs, benchmark, text_col, item_col, item_text, width, block_words)
     at = docs.columns.index(text_col)
     if len(blocks) == 1:
@@ -213,14 +224,15 @@ def clean(
 
             def step(batch):
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
-                return batch.filter(pa.array([len(found.hits(plain_words(t or b""))[1]) < least_items for t in texts], pa.bool_()))
+                hits = (found.hits(plain_words(t or b"")) for t in texts)
+                return batch.filter(pa.array([not leaked(items, longest, least_items, lone_words) for _, items, longest in hits], pa.bool_()))
 
             return step
 
         return map_batches(docs, make, docs.schema)
     key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    bad = scan(keyed, benchmark, "_key", "_text", item_col, item_text, width, least_items, block_words).where("contaminated")
+    bad = scan(keyed, benchmark, "_key", "_text", item_col, item_text, width, least_items, block_words, lone_words).where("contaminated")
     return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), key == F.col("_bad"), "left_anti")
 
 

@@ -75,19 +75,39 @@ def simhash_components(rows):
     return [(f"{p:016x}", least.get(find(i))) for i, p in enumerate(prints)]
 
 
+def places(words, size):
+    found = {}
+    for i in range(len(words) - size + 1):
+        found.setdefault(tuple(words[i : i + size]), []).append(i)
+    return found
+
+
+def leaked(text, items):
+    """Two items occur, or eight consecutive words of one."""
+    at, found = {}, set()
+    for item, item_text in items:
+        w = plain(item_text)
+        if size := min(8, len(w)):
+            here = at.setdefault(size, places(plain(text), size) if size not in at else None)
+            if any(tuple(w[k : k + size]) in here for k in range(len(w) - size + 1)):
+                if size == 8:
+                    return True
+                found.add(item)
+    return len(found) >= 2
+
+
 def contamination(text, items):
     words = plain(text)
-    hit, found = set(), set()
+    hit, found, at = set(), set(), {}
     for item, item_text in items:
         w = plain(item_text)
         size = min(8, len(w))
         if not size:
             continue
         for k in range(len(w) - size + 1):
-            for i in range(len(words) - size + 1):
-                if words[i : i + size] == w[k : k + size]:
-                    hit.update(range(i, i + size))
-                    found.add(str(item) if item is not None else "")
+            for i in at.setdefault(size, places(words, size) if size not in at else None).get(tuple(w[k : k + size]), ()):
+                hit.update(range(i, i + size))
+                found.add(str(item) if item is not None else "")
     ids = ",".join(sorted(found))
     return len(words), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), len(found) >= 2
 

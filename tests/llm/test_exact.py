@@ -172,7 +172,11 @@ def test_decontamination(spark, sf, docs, texts, block_words):
         [(d, brute.contamination(t, bench)) for d, t in texts],
     )
     cleaned = decontaminate.clean(docs, items, block_words=block_words)
-    assert cleaned.columns == docs.columns and cleaned.count() == sum(not r.contaminated for r in got)
+    assert cleaned.columns == docs.columns
+    kept = sorted((d, t or "") for d, t in texts if not brute.leaked(t, bench) and d is not None)
+    assert sorted((r.doc_id, r.text or "") for r in cleaned.where("doc_id is not null").collect()) == kept
+    alone = spark.createDataFrame([(1, " ".join(bench[0][1].split()[:9])), (2, "under the mit"), (3, "under the mit, one two three")], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.clean(alone, items, block_words=block_words).collect()] == [2]
 
 
 def test_licenses(docs, texts):

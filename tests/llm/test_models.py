@@ -196,7 +196,7 @@ def test_pipeline(spark, tmp_path):
             groups = brute.simhash_components([(d, rows[d]) for d in order])
             kept = {component for _, component in groups}
         elif name == "decontaminate":
-            kept = {d for d in kept if not brute.contamination(rows[d], items)[4]}
+            kept = {d for d in kept if not brute.leaked(rows[d], items)}
             assert not {900001, 900002} & kept
         elif name == "secret_scan":
             assert have[900003].text.startswith("[SECRET] in a text") and have[900003].n_chars == len(have[900003].text)
