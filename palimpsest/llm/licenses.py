@@ -1,12 +1,12 @@
 """Licence scans with a positional rare-token index.
 
-A file's licence words are ranked by their inverse document frequency over the
-whole corpus.  The rarest few are looked up in the templates' postings; postings
-that agree on a relative position (file position less template position) make a
-candidate alignment.  A candidate counts once its template's mandatory key
-phrase stands within the aligned stretch and enough words agree.  The base
-phrases are found everywhere they stand: each is looked up by its rarest word
-and compared at the relative position.
+Licence words are ranked by their inverse document frequency over the whole
+corpus.  Every phrase is found everywhere it stands: it is looked up in the
+file's positions by its rarest word and compared at the relative position.  Each
+place of a template's mandatory key phrase makes candidate alignments, all those
+(file position less template position) whose stretch holds the place; the
+template counts if enough of its words agree at the best of them.  However many
+notices a file has, each is found.
 
 Defined results: null text counts as empty; a text without words has no places,
 null first and last word, empty labels and score zero; repeated files are
@@ -16,7 +16,8 @@ scanned one by one.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,23 +57,17 @@ def _words(text: str) -> tuple[bytes, ...]:
 
 
 class Index:
-    """Postings of template words and, by their rarest words, of the phrases.
+    """Phrases, found by their rarest words, and templates.
 
-    ``rare_words`` of a file are looked up; ``slack`` words may be missing or
-    added between a file and a template; ``least_share`` of a template's words
-    must agree.
+    ``slack`` words may be missing or added between a file and a template;
+    ``least_share`` of a template's words must agree.
     """
 
-    def __init__(self, idf: dict[bytes, float], rare_words: int = 6, slack: int = 3, least_share: float = 0.7):
-        self.rare_words, self.slack, self.least_share = rare_words, slack, least_share
+    def __init__(self, idf: dict[bytes, float], slack: int = 3, least_share: float = 0.7):
+        self.slack, self.least_share = slack, least_share
         self.idf = idf
         self.base = [(_words(p), label) for p, label in BASE_PHRASES]
         self.templates = [(label, _words(text), [_words(k) for k in keys]) for label, text, keys in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for at, word in enumerate(words):
-                self.postings[word].append((t, at))
-        self.postings = dict(self.postings)
         self.vocabulary = frozenset(vocabulary())
 
     def rarest(self, phrase: tuple[bytes, ...]) -> int:
@@ -114,26 +109,27 @@ class Index:
 
     def aligned(self, words: list[bytes], where: dict[bytes, list[int]]):
         """(label, share of the template's words that agree) of verified candidates."""
-        open_ = {t for t, (_, _, keys) in enumerate(self.templates) if any(all(w in where for w in k) for k in keys)}
-        if not open_:  # no template has all words of a mandatory phrase here
-            return
-        query = sorted((w for w in where if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w))[: self.rare_words]
-        votes: Counter = Counter()
-        for word in query:
-            for t, at in self.postings[word]:
-                if t in open_:
-                    votes.update((t, p - at) for p in where[word])
-        seen: set[tuple[int, int]] = set()
-        for (t, shift), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
-            label, template, keys = self.templates[t]
-            if any((t, shift + d) in seen for d in range(-self.slack, self.slack + 1)):
-                continue
-            seen.add((t, shift))
-            low, high = max(0, shift - self.slack), shift + len(template) + self.slack
-            stretch = words[low:high]
-            share = sum(any(p - shift - at in range(-self.slack, self.slack + 1) for p in where.get(w, ())) for at, w in enumerate(template) if w in where) / len(template)
-            if share >= self.least_share and any(tuple(stretch[i : i + len(k)]) == k for k in keys for i in range(len(stretch) - len(k) + 1)):
-                yield label, share
+        for label, template, keys in self.templates:
+            best = 0.0
+            for key in keys:
+                for at in self.places(key, words, where):
+                    best = max(best, self.agreement(template, where, at + len(key) - len(template) - self.slack, at + self.slack))
+            if best >= self.least_share:
+                yield label, best
+
+    def agreement(self, template: tuple[bytes, ...], where: dict[bytes, list[int]], low: int, high: int) -> float:
+        """The largest share of the template's words that agree, over alignments low..high."""
+        agree = [0] * (high - low + 1)
+        for at, word in enumerate(template):
+            found, least = where.get(word, ()), low  # alignments below ``least`` have this word already
+            for i in range(bisect_left(found, low + at - self.slack), len(found)):
+                first, last = found[i] - at - self.slack, found[i] - at + self.slack
+                if first > high:
+                    break
+                for shift in range(max(first, least), min(last, high) + 1):
+                    agree[shift - low] += 1
+                least = last + 1
+        return max(agree) / len(template)
 
 
 def vocabulary() -> set[bytes]:

@@ -195,6 +195,42 @@ def test_license_templates(spark):
     assert got == {1: "gpl-3", 2: "", 3: "mit"}
 
 
+def test_license_notices_together(spark):
+    """A long file with several notices and stray licence words has the labels of all."""
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    filler = "nothing of note stands here " * 400
+    stray = "affero mozilla lesser unencumbered commons attribution cc0 "
+    rows = [(1, f"{bsd} {filler} {gpl}"), (2, f"{stray} {filler} {gpl} {filler} {mit} {filler} {bsd}"), (3, f"{stray} {filler}")]
+    rows += [(k, gpl) for k in range(4, 12)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "bsd,gpl-3", 2: "bsd,gpl-3,mit", 3: ""} | {k: "gpl-3" for k in range(4, 12)}
+
+
+def test_license_alignments_random():
+    """Places and agreement against a plain search over every alignment."""
+    rng = random.Random(11)
+    index = licenses.Index({w: rng.random() for w in licenses.vocabulary()})
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            _, notice, _ = rng.choice(index.templates)
+            words += [w for w in notice if rng.random() > 0.1] + [rng.choice([b"x", b"license", b"version", b"2"]) for _ in range(rng.randrange(4))]
+        expected = {}
+        for label, notice, keys in index.templates:
+            for shift in range(-len(notice) - 3, len(words) + 4):
+                stretch = words[max(0, shift - 3) : max(0, shift + len(notice) + 3)]
+                if any(tuple(stretch[i : i + len(k)]) == k for k in keys for i in range(len(stretch) - len(k) + 1)):
+                    share = sum(any(0 <= q < len(words) and words[q] == w for q in range(shift + at - 3, shift + at + 4)) for at, w in enumerate(notice)) / len(notice)
+                    if share >= 0.7:
+                        expected[label] = max(share, expected.get(label, 0.0))
+        found = index.scan(b" ".join(words))
+        base = set(found[4].split(",")) - {""}
+        assert set(found[5].split(",")) - {""} == set(expected) | base
+        assert found[6] == (1.0 if base else max(expected.values(), default=0.0))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, extra int")
     items = spark.createDataFrame([], "item_id long, text string")
