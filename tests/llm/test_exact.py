@@ -79,6 +79,33 @@ def test_bands():
     assert not compression.judge(("spam " * 2000).encode(), press, bands)[6]
 
 
+def test_bands_reject_encoded_text(texts):
+    import base64
+    import string
+
+    import zstandard
+
+    press, bands = zstandard.ZstdCompressor(level=3).compress, compression.Bands()
+    rng = random.Random(8)
+    for size in (300, 1000, 2000, 4000, 6000, 20_000, 200_000):
+        lines = base64.encodebytes(rng.randbytes(size))[:size]
+        mixed = " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=rng.randrange(3, 12))) for _ in range(size // 4))[:size].encode()
+        for junk in (lines, mixed):
+            assert not compression.in_band(size, compression.ratios(junk, press, bands), bands)
+    assert not compression.judge(base64.encodebytes(rng.randbytes(4000)), press, bands)[6]
+    told = [compression.judge((t or "").encode(), press, bands) for d, t in texts if d is not None and d < 9000]
+    assert sum(r[6] for r in told) == sum(not r[5] for r in told)  # prose stays
+
+
+def test_last_chunk_is_measured():
+    import zstandard
+
+    press, bands = zstandard.ZstdCompressor(level=3).compress, compression.Bands()
+    noise = random.Random(9).randbytes(1000)
+    assert compression.ratios(b"spam" * 1024 + noise, press, bands)[1:] == (0.5, 0.0)
+    assert compression.ratios(noise * 4 + b"x" * 96 + b"spam" * 250, press, bands)[1] == 0.0
+
+
 def test_secrets(docs, texts):
     got = secrets.scan(docs).collect()
     same(
