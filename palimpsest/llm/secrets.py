@@ -27,18 +27,19 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
-# The weak patterns, of this module's own choice.
+# The weak patterns, of this module's own choice.  Values, tokens and URLs are matched to
+# their ends, however long; the parts of a mail address are bounded as its standards have it.
 WEAK_ID = (
-    r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}"""
-    r"""|[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}"""
+    r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
+    r"""|[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,126}"""
 )
 WEAK_SECRET = (
-    r"""(?i:\b(?:pwd|pass|passphrase|credential|auth))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,256}"""
-    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[a-z0-9+/_-]{0,39}[A-Z])(?=[A-Z0-9+/_-]{0,39}[a-z])[A-Za-z0-9+/_-]{20,256}"""
+    r"""(?i:\b(?:pwd|pass|passphrase|credential|auth))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
+    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}"""
 )
 WEAK_URL = (
-    r"""\b(?:https?|ftp|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,512}"""
-    r"""|(?i:\b(?:host|endpoint|server))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,256}"""
+    r"""\b(?:https?|ftp|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}"""
+    r"""|(?i:\b(?:host|endpoint|server))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,}"""
 )
 
 # kind, pattern, least characters of group 2 (0: no such group); in report order
