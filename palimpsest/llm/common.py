@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.storage import materialize
 
-__all__ = ["bounded_sample", "document_frequency", "fold", "held_out", "map_batches", "materialize", "plain_words", "read", "share", "space_words", "table_batch"]
+__all__ = ["bounded_sample", "document_frequency", "fold", "held_out", "labelled_texts", "map_batches", "materialize", "plain_words", "read", "renamed", "share", "space_words", "table_batch"]
 
 _PLAIN = bytes(
     (b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
@@ -43,6 +43,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def renamed(docs: DataFrame, *taken: str) -> DataFrame:
+    """``docs`` with columns that have one of the names ``taken`` moved to ``<name>_in``."""
+    names = {c.lower() for c in docs.columns} | {t.lower() for t in taken}
+    for name in docs.columns:
+        if name.lower() in {t.lower() for t in taken}:
+            new = f"{name}_in"
+            while new.lower() in names:
+                new += "_in"
+            names.add(new.lower())
+            docs = docs.withColumnRenamed(name, new)
+    return docs
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcasts ``value``; the function returned gives it back on an executor.
 
@@ -76,39 +89,43 @@ def table_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def document_frequency(
-    docs: DataFrame, text_col: str, vocabulary: Iterable[bytes], levels: int = 1
-) -> dict[tuple[bytes, int], int]:
-    """In how many documents each vocabulary word occurs at least 1..levels times.
+def document_frequency(docs: DataFrame, text_col: str, vocabulary: Iterable[bytes]) -> dict[bytes, int]:
+    """In how many documents each vocabulary word occurs; words of none are absent.
 
     One pass over all documents; each partition adds up its own counts first.
-    The result is bounded by the vocabulary times ``levels``.
+    The result is bounded by the vocabulary.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frozenset(vocabulary))
-    out = pa.schema([("word", pa.binary()), ("level", pa.int32()), ("n", pa.int64())])
+    out = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
         words, counts = known.value, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    found = plain_words(text)
-                    if levels == 1:
-                        counts.update((w, 1) for w in words.intersection(found))
-                    else:
-                        here = Counter(w for w in found if w in words)
-                        counts.update((w, k) for w, n in here.items() for k in range(1, min(n, levels) + 1))
-        if counts:
-            yield table_batch(out, [w for w, _ in counts], [k for _, k in counts], list(counts.values()))
-
-    part = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(
-        run, "word binary, level int, n long"
-    )
-    rows = part.groupBy("word", "level").agg(F.sum("n").alias("n")).collect()
-    return {(bytes(r.word), r.level): r.n for r in rows}
+                    counts.update(words.intersection(plain_words(text)))
+        rows = list(counts.items())
+        for i in range(0, len(rows), 50_000):
+            yield table_batch(out, *zip(*rows[i : i + 50_000], strict=True))
+
+    part = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "word binary, n long")
+    table = part.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True))
 
 
 def bounded_sample(ids: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, the first by a hash of ``key``: the same at every run."""
     return ids.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+
+
+def labelled_texts(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, text) of the ``picked`` rows (id, y), a bounded sample.
+
+    One row for each id, so that documents that repeat an id add no rows: of their
+    texts the first by a hash.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    met = texts.join(F.broadcast(picked.select("id", "y")), "id")  # as many rows as the sample's limit
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("one")
+    return met.groupBy("id", "y").agg(one).select("id", "y", "one.text")

@@ -158,7 +158,7 @@ def build(docs: DataFrame, text_col: str = "text", **options) -> Index:
     """The index, with document frequencies of licence words over all documents."""
     found = document_frequency(docs, text_col, vocabulary())
     total = docs.count()
-    return Index({w: math.log((total + 1) / (found.get((w, 1), 0) + 1)) for w in vocabulary()}, **options)
+    return Index({w: math.log((total + 1) / (found.get(w, 0) + 1)) for w in vocabulary()}, **options)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,25 +1,29 @@
 """Toxicity by the nearest labelled examples, exact over TF-IDF cosine.
 
-Terms are words of the labelled sample, and beginnings of words, whose presence
-goes with the label (chi-squared); beginnings stand for inflected and compounded
-forms.  A term's second and third occurrence are terms of their own, so that
-repetition changes a vector's direction.  Inverse document frequencies come from all
-documents.
-
-The examples with any term lie in blocks of an inverted index that keeps each
-term's largest weight in each block.  A query's bound on a block is the sum of
-those; blocks are scored in falling order of bound until no bound reaches the
-k-th similarity found, so the neighbours are exact.  All examples tied with the
-k-th vote.  Votes weigh 1 / (1 - similarity + eps), corrected for the sample's
-share of each class, and are mapped to probabilities by a logistic curve fitted
-to leave-one-out votes.
-
-Texts without a term have no direction; they get the share of toxic examples
-among those without one.
-
-Defined results: null text counts as empty; repeated documents are scored one
-by one; of repeated labels the largest counts; without an example of either
-class the score is the share of the class there is, or 0.
+Terms are all words of the bounded labelled sample.  A text's weight of a term is
+(1 + log tf) x idf x association: inverse document frequencies come from all
+documents, and the association is the chi-squared statistic of the term's presence
+with the label over the sample.  No term is left out; the association only turns the
+axes, so that a few words which matter are not drowned by the many which do not.
+``Limits(association=False)`` gives plain TF-IDF.
+
+The examples lie in blocks of an inverted index that keeps each term's largest weight
+in each block.  A query's bound on a block is the sum of those; blocks are scored in
+falling order of bound, a few and then more at a time, until no bound reaches the k-th
+similarity found, so the neighbours are exact.  All examples tied with the k-th vote, and all that vote are
+listed as evidence.  Votes weigh similarity / (1 - similarity + eps), corrected for the
+sample's share of each class, beside a prior vote; they are mapped to probabilities by a
+logistic curve fitted to the votes on held-back parts of the sample, whose labels neither the
+associations nor the neighbours of those votes have seen.
+
+Defined results: null text counts as empty; a text without a known word has the prior
+vote only; repeated documents are scanned one by one and get equal scores; of documents
+that repeat a labelled id one text is learned from, and labelled texts that are equal are
+one example of their common weight; of repeated labels the largest counts; ties vote
+together and are listed by id; without an example of either class the score is 1 or 0, the
+share of the class there is (0 without any); texts are read whole, however long; an empty
+table gives an empty result; columns other than id and text are never read, so that their
+names may be anything.
 """
 
 from __future__ import annotations
@@ -30,84 +34,98 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_sample, fold, held_out, map_batches, materialize, plain_words, share, table_batch
+from palimpsest.llm.common import bounded_sample, document_frequency, fold, held_out, labelled_texts, map_batches, materialize, plain_words, share, table_batch
 
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what is learned, and the vote's parameters."""
-
-    positives: int = 2000
-    negatives: int = 8000
-    terms: int = 2000
-    least_df: int = 4
-    least_chi2: float = 30.0
-    levels: int = 3
-    beginnings: tuple[int, ...] = (4, 5, 6, 7, 8)
+    """How many labelled rows of each class are learned from, and the vote's parameters."""
+
+    positives: int = 1500
+    negatives: int = 3000
     neighbours: int = 15
     block: int = 64
     eps: float = 0.05
+    prior: float = 5.0
+    folds: int = 3
+    association: bool = True
+
+
+def spread(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges [start, end), and each one's value."""
+    sizes = ends - starts
+    whole = int(sizes.sum())
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(whole), np.repeat(values, sizes)
 
 
 class Index:
-    """Unit vectors of examples, by blocks, with each term's block maxima."""
+    """Unit vectors of examples, by blocks, with each term's block maxima.
 
-    def __init__(self, ids: list, labels: np.ndarray, vectors: list[dict[int, float]], weights: np.ndarray, n_terms: int, limits: Limits):
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t])[:3], ids[i]))
+    ``vectors``: (terms, weights) arrays of each example.  Alike examples share blocks:
+    they are ordered by their heaviest terms.
+    """
+
+    def __init__(self, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, n_terms: int, limits: Limits):
+        heavy = [t[np.lexsort((t, -w))[:3]].tolist() for t, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (heavy[i], ids[i]))
         self.ids = [ids[i] for i in order]
-        self.labels, self.weights, self.limits = labels[order], weights[order], limits
-        self.vectors = [vectors[i] for i in order]
-        size = limits.block
-        self.blocks = -(-len(order) // size)
-        self.bounds = np.zeros((n_terms, self.blocks))
-        postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(self.blocks)]
-        for row, vector in enumerate(self.vectors):
-            b = row // size
-            for term, weight in vector.items():
-                self.bounds[term, b] = max(self.bounds[term, b], weight)
-                rows, values = postings[b].setdefault(term, ([], []))
-                rows.append(row - b * size)
-                values.append(weight)
-        self.postings = [{t: (np.array(r), np.array(v)) for t, (r, v) in p.items()} for p in postings]
-
-    def nearest(self, query: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.labels, self.weights, self.limits, self.n_terms = labels[order], weights[order], limits, n_terms
+        vectors = [vectors[i] for i in order]
+        self.prior = float((self.weights * self.labels).sum() / self.weights.sum()) if len(order) else 0.0
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
+        values = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
+        # postings by term and row; a run of one term and block is an entry, with its largest weight
+        by = np.argsort(terms, kind="stable")
+        terms, self.rows, self.values = terms[by], rows[by], values[by]
+        self.blocks = -(-len(order) // limits.block)
+        block = self.rows // limits.block
+        first = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])]) if len(terms) else np.zeros(0, np.int64)
+        self.entry_block, self.entry_at = block[first], np.r_[first, len(terms)]
+        self.peak = np.maximum.reduceat(self.values, first) if len(first) else np.zeros(0)
+        self.term_at = np.searchsorted(terms[first], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and similarities of the k nearest and of all tied with the k-th, nearest first."""
-        k, size = self.limits.neighbours, self.limits.block
-        terms = np.fromiter(query, np.int64, len(query))
-        values = np.fromiter(query.values(), np.float64, len(query))
-        bounds = values @ self.bounds[terms]
+        k = self.limits.neighbours
         rows, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 1e-12 or (len(sims) >= k and bounds[b] < least - 1e-9):
+        entries, weight = spread(self.term_at[terms], self.term_at[terms + 1], values)
+        blocks = self.entry_block[entries]
+        bounds = np.bincount(blocks, self.peak[entries] * weight, minlength=self.blocks)
+        order, at, some = np.argsort(-bounds, kind="stable"), 0, 4
+        while at < len(order):
+            batch = order[at : at + some]
+            batch = batch[(bounds[batch] > 1e-12) & ((len(sims) < k) | (bounds[batch] >= least - 1e-9))]
+            if not len(batch):  # bounds only fall from here on
                 break
-            scores = np.zeros(min(size, len(self.ids) - b * size))
-            for term, weight in query.items():
-                if (found := self.postings[b].get(term)) is not None:
-                    scores[found[0]] += weight * found[1]
-            here = np.flatnonzero((scores > 1e-12) & (scores >= least - 1e-9)) if len(sims) >= k else np.flatnonzero(scores > 1e-12)
-            here = here[here + b * size != skip]
-            rows, sims = np.concatenate([rows, here + b * size]), np.concatenate([sims, scores[here]])
-            if len(sims) > k:
+            at, some = at + some, some * 2
+            chosen = np.zeros(self.blocks, bool)
+            chosen[batch] = True
+            mine = chosen[blocks]
+            postings, w = spread(self.entry_at[entries[mine]], self.entry_at[entries[mine] + 1], weight[mine])
+            scores = np.bincount(self.rows[postings], self.values[postings] * w, minlength=len(self.ids))
+            here = np.flatnonzero(scores > max(1e-12, least - 1e-9 if len(sims) >= k else 0.0))
+            rows, sims = np.concatenate([rows, here]), np.concatenate([sims, scores[here]])
+            if len(sims) >= k:
                 least = np.partition(sims, len(sims) - k)[len(sims) - k]
                 best = sims >= least - 1e-9
                 rows, sims = rows[best], sims[best]
-            elif len(sims) == k:
-                least = sims.min()
         order = np.lexsort((rows, -np.round(sims, 9)))
         return rows[order], np.minimum(sims[order], 1.0)
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        """Log-odds of the weighted share of positive neighbours."""
-        weight = self.weights[rows] / (1 - sims + self.limits.eps)
-        yes = float((weight * self.labels[rows]).sum())
-        every = float(weight.sum())
-        share = (yes + 0.01 * every) / (1.02 * every)
-        return math.log(share / (1 - share))
+        """Log-odds of the weighted share of positive neighbours, the prior vote among them."""
+        weight = self.weights[rows] * sims / (1 - sims + self.limits.eps)
+        yes, every, prior = float((weight * self.labels[rows]).sum()), float(weight.sum()), self.limits.prior
+        part = (yes + prior * self.prior + 0.01 * (every + prior)) / (1.02 * (every + prior))
+        return math.log(part / (1 - part))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -125,148 +143,108 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> tu
     return float(a), float(b)
 
 
-def term_counts(text: bytes | None, beginnings: tuple[int, ...], known: frozenset | None = None) -> Counter:
-    """How often each whole word, and each beginning (marked by a star), occurs.
-
-    With ``known`` only its terms are counted.
-    """
-    counts: Counter = Counter()
-    for word, n in Counter(plain_words(text or b"")).items():
-        if known is None or word in known:
-            counts[word] += n
-        for size in beginnings:
-            if len(word) <= size:
-                break
-            start = word[:size] + b"*"
-            if known is None or start in known:
-                counts[start] += n
-    return counts
+def squashed(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 class Model:
-    def __init__(self, terms: dict[tuple[bytes, int], int], idf: np.ndarray, limits: Limits):
-        self.terms, self.idf, self.levels, self.beginnings = terms, idf, limits.levels, limits.beginnings
-        self.words = frozenset(w for w, _ in terms)
+    """``words``: term numbers; ``scale``: idf x association of each term."""
+
+    def __init__(self, words: dict[bytes, int], scale: np.ndarray, constant: float | None = None):
+        self.words, self.scale, self.constant = words, scale, constant
         self.index: Index | None = None
-        self.slope, self.offset, self.plain = 1.0, 0.0, 0.0
-
-    def vector(self, text: bytes | None) -> dict[int, float]:
-        counts = term_counts(text, self.beginnings, self.words)
-        found = sorted(self.terms[w, k] for w, n in counts.items() for k in range(1, min(n, self.levels) + 1) if (w, k) in self.terms)
-        norm = math.sqrt(sum(self.idf[t] ** 2 for t in found))
-        return {t: self.idf[t] / norm for t in found} if norm else {}
-
-    def score(self, vector: dict[int, float]) -> tuple[float, list, list]:
-        """Probability, and the nearest examples' ids and labels as evidence."""
-        if not vector or self.index is None:
-            return self.plain, [], []
-        rows, sims = self.index.nearest(vector)
-        if not len(rows):
-            return self.plain, [], []
+        self.slope, self.offset = 1.0, 0.0
+
+    def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in rising order and their weights, of length 1."""
+        known = self.words
+        found = [w for w in counts if w in known]
+        terms = np.array([known[w] for w in found], np.int64)
+        tf = np.array([counts[w] for w in found], float)
+        by = np.argsort(terms)
+        terms = terms[by]
+        values = (1 + np.log(tf[by])) * self.scale[terms]
+        norm = math.sqrt(float(values @ values))
+        return (terms, values / norm) if norm > 1e-12 else (np.zeros(0, np.int64), np.zeros(0))
+
+    def score(self, text: bytes | None) -> tuple[float, list, list]:
+        """Probability, and the ids and labels of the examples that voted, nearest first."""
+        if self.index is None:
+            return self.constant or 0.0, [], []
+        rows, sims = self.index.nearest(*self.vector(Counter(plain_words(text or b""))))
         odds = self.slope * self.index.vote(rows, sims) + self.offset
-        some = rows[: self.index.limits.neighbours]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))), [self.index.ids[r] for r in some], [int(self.index.labels[r]) for r in some]
-
-
-def _terms(train: DataFrame, positives: int, total: int, limits: Limits) -> list[bytes]:
-    out = pa.schema([("word", pa.binary()), ("yes", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        every, yes = Counter(), Counter()
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(term_counts(text, limits.beginnings))
-                every.update(words)
-                if label:
-                    yes.update(words)
-        rows = [(w, yes[w], n) for w, n in every.items()]
-        for i in range(0, len(rows), 50_000):
-            yield table_batch(out, *zip(*rows[i : i + 50_000], strict=True))
-
-    part = train.select("y", F.col("text").cast("binary")).mapInArrow(run, "word binary, yes long, n long")
-    df = part.groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")).where(F.col("n") >= limits.least_df)
-    p = positives / total
-    expected = F.col("n") * p
-    apart = (F.col("yes") - expected) * (F.col("yes") - expected)
-    spread = expected * (1 - p) * (F.lit(1.0) - F.col("n") / (total + 1.0))
-    best = df.withColumn("chi2", F.round(apart / spread, 9)).where(F.col("chi2") >= limits.least_chi2)
-    return [bytes(r.word) for r in best.orderBy(F.desc("chi2"), "word").limit(limits.terms).collect()]
-
-
-def _frequencies(docs: DataFrame, text_col: str, words: list[bytes], limits: Limits) -> dict[tuple[bytes, int], int]:
-    """In how many of all documents each term occurs at least 1, 2, ... times."""
-    known = share(docs.sparkSession, frozenset(words))
-    out = pa.schema([("word", pa.binary()), ("level", pa.int32()), ("n", pa.int64())])
-
-    def run(batches):
-        terms, counts = known(), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                here = term_counts(text, limits.beginnings, terms)
-                counts.update((w, k) for w, n in here.items() for k in range(1, min(n, limits.levels) + 1))
-        if counts:
-            yield table_batch(out, [w for w, _ in counts], [k for _, k in counts], list(counts.values()))
-
-    part = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "word binary, level int, n long")
-    rows = part.groupBy("word", "level").agg(F.sum("n").alias("n")).collect()  # at most terms x levels
-    return {(bytes(r.word), r.level): r.n for r in rows}
+        return squashed(odds), [self.index.ids[r] for r in rows], [int(self.index.labels[r]) for r in rows]
 
 
-def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """``labelled``: (id, y) rows that may be learned from; y is 0 or 1."""
+def associations(df: np.ndarray, yes: np.ndarray, rows: int, positives: int) -> np.ndarray:
+    """Chi-squared of each term's presence with the label, over ``rows`` examples; 0 for a term of none."""
+    p = positives / rows
+    return (yes - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / (rows + 1.0)), 1e-12)
+
+
+def _examples(docs: DataFrame, labelled: DataFrame, limits: Limits, text_col: str, id_col: str) -> tuple[list[tuple], dict]:
+    """(id, label, copies, words, counts) of the sample's distinct texts, and how many labels of each class there are."""
     once = labelled.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     have = {r.y: r.n for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [bounded_sample(once.where(F.col("y") == y), "id", most) for y, most in ((1, limits.positives), (0, limits.negatives))]
     picked = materialize(picked[0].unionByName(picked[1]), "sample")  # bounded by the two limits
-    train = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("id", "y", F.col(text_col).alias("text"))
-    train = materialize(train, "train")
-    seen = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    yes, no = seen.get(1, 0), seen.get(0, 0)
-    if not yes or not no:
-        empty = Model({}, np.zeros(0), limits)
-        empty.plain = 1.0 if yes else 0.0
-        return empty
-    words = _terms(train, yes, yes + no, limits)
-    found = _frequencies(docs, text_col, words, limits)
-    total = docs.count()
-    keys = sorted(found)
-    terms = {key: t for t, key in enumerate(keys)}
-    model = Model(terms, np.array([math.log((total + 1) / (found[key] + 1)) + 1 for key in keys]), limits)
-    shared = share(docs.sparkSession, model)
-    out = pa.schema([("id", pa.string()), ("y", pa.int32()), ("terms", pa.list_(pa.int32()))])
+    train = labelled_texts(docs, picked, id_col, text_col)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    train = train.groupBy(text.alias("text"), "y").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    out = pa.schema([("id", pa.string()), ("y", pa.int32()), ("copies", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
 
     def make():
-        vector = shared().vector
-
         def step(batch):
-            vectors = [sorted(vector(t)) for t in batch.column(2).to_pylist()]
-            return table_batch(out, batch.column(0), batch.column(1), vectors)
+            found = [Counter(plain_words(t)) for t in batch.column(3).to_pylist()]
+            return table_batch(out, batch.column(0), batch.column(1), batch.column(2), [list(c) for c in found], [list(c.values()) for c in found])
 
         return step
 
-    slim = train.select(F.col("id").cast("string"), F.col("y").cast("int"), F.col("text").cast("binary"))
-    rows = sorted(map(tuple, map_batches(slim, make, "id string, y int, terms array<int>").collect()))
-    weight = {1: have[1] / yes, 0: have[0] / no}  # what a sampled example stands for
-    with_terms = [r for r in rows if r[2]]
-    without = [r for r in rows if not r[2]]
-    heavy = sum(weight[y] for _, y, _ in without)
-    model.plain = sum(weight[1] for _, y, _ in without if y) / (heavy + 1.0)
-    if not with_terms:
-        return model
+    slim = train.select(F.col("id").cast("string"), F.col("y").cast("int"), "copies", "text")
+    table = map_batches(slim, make, "id string, y int, copies long, words array<binary>, counts array<int>").toArrow()
+    return sorted(zip(*(table.column(c).to_pylist() for c in out.names), strict=True), key=lambda r: (r[0], r[1])), have
 
-    def unit(found: list[int]) -> dict[int, float]:
-        norm = math.sqrt(sum(model.idf[t] ** 2 for t in found))
-        return {t: model.idf[t] / norm for t in found}
 
+def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """``labelled``: (id, y) rows that may be learned from; y is 0 or 1."""
+    rows, have = _examples(docs, labelled, limits, text_col, id_col)
+    labels = np.array([r[1] for r in rows], float)
+    yes = int(labels.sum())
+    if not 0 < yes < len(rows):
+        return Model({}, np.zeros(0), 1.0 if yes else 0.0)
+    words = {w: t for t, w in enumerate(sorted({w for r in rows for w in r[3]}))}
+    everywhere = document_frequency(docs, text_col, words)
+    total = docs.count()
+    idf = np.log((total + 1) / (np.array([everywhere.get(w, 0) for w in words], float) + 1)) + 1
+    terms = [np.array([words[w] for w in r[3]], np.int64) for r in rows]
+    copies = np.array([r[2] for r in rows], float)
+    sampled = {y: copies[labels == y].sum() for y in (0, 1)}
+    weights = copies * np.array([have[int(y)] / sampled[int(y)] for y in labels])  # what an example stands for
     kind = docs.schema[id_col].dataType.typeName()
-    ids = [int(r[0]) if kind in ("long", "integer", "short", "byte") else r[0] for r in with_terms]
-    labels = np.array([r[1] for r in with_terms], float)
-    model.index = Index(ids, labels, [unit(r[2]) for r in with_terms], np.array([weight[r[1]] for r in with_terms]), len(keys), limits)
-    votes = [(i, model.index.vote(*near)) for i, v in enumerate(model.index.vectors) if len((near := model.index.nearest(v, skip=i))[0])]
-    if votes:
-        at = [i for i, _ in votes]
-        w = model.index.weights[at]
-        model.slope, model.offset = logistic(np.array([v for _, v in votes]), model.index.labels[at], w / w.mean())
+    ids = [int(r[0]) if kind in ("long", "integer", "short", "byte") else r[0] for r in rows]
+    counts = [dict(zip(r[3], r[4], strict=True)) for r in rows]
+
+    def learn(some: np.ndarray) -> Model:
+        """A model of these examples, its votes not yet mapped to probabilities."""
+        scale = idf
+        if limits.association:
+            df = np.bincount(np.concatenate([terms[i] for i in some]), minlength=len(words)).astype(float)
+            yes = np.bincount(np.concatenate([terms[i] for i in some if labels[i]]), minlength=len(words)).astype(float)
+            scale = idf * associations(df, yes, len(some), int(labels[some].sum()))
+        model = Model(words, scale)
+        model.index = Index([ids[i] for i in some], labels[some], [model.vector(counts[i]) for i in some], weights[some] / weights[some].mean(), len(words), limits)
+        return model
+
+    everyone, votes, voted = np.arange(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), bool)
+    for k in range(limits.folds):
+        back, rest = everyone[everyone % limits.folds == k], everyone[everyone % limits.folds != k]
+        if len(set(labels[rest])) == 2:
+            part = learn(rest)
+            votes[back] = [part.index.vote(*part.index.nearest(*part.vector(counts[i]))) for i in back]
+            voted[back] = True
+    model = learn(everyone)
+    if len(set(labels[voted])) == 2:
+        model.slope, model.offset = logistic(votes[voted], labels[voted], weights[voted] / weights.mean())
     return model
 
 
@@ -281,12 +259,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         def step(batch):
             out = []
             for text in batch.column(1).to_pylist():
-                vector = model.vector(text)
-                key = tuple(vector)
+                key = xxhash.xxh3_128_digest(text or b"")
                 if key not in cache:
-                    if len(cache) >= 50_000:
+                    if len(cache) >= 20_000:
                         cache.clear()
-                    cache[key] = model.score(vector)
+                    cache[key] = model.score(text)
                 out.append(cache[key])
             schema = pa.schema([batch.schema.field(0), ("score", pa.float64()), ("neighbours", pa.list_(batch.schema.types[0])), ("votes", pa.list_(pa.int32()))])
             return table_batch(schema, batch.column(0), *zip(*out, strict=True))
