@@ -4,39 +4,47 @@ A classifier fitted on a labelled table gives every document a posterior over
 domains.  Nonnegative document rates are then fitted so that the expected tokens
 of each domain, the sum of rate x tokens x posterior, match the targets.
 
-The classifier is multinomial logistic regression over the presence of the words
-that tell most about the domains, a bounded list.  It is fitted on a bounded sample of
-labelled documents, of which only the listed words' numbers come to the driver; the
-penalty keeps posteriors soft where words leave doubt, and their mean over the sample
-is each domain's share of it.
-
-The fit is projected-gradient least squares from rate 1.  Change is measured in
-tokens, and the residual is scaled by the inverse of sum(tokens x p x p'), so one
-full step would solve it if no rate met zero; the projection onto rates >= 0 makes
-more steps needed.  A step is one sum over all documents; only the residual, as
-many numbers as there are domains, comes to the driver.
+The classifier is multinomial logistic regression over the presence of words.  Every
+word counts: a word is known by its 64-bit hash modulo ``buckets``, so that the model
+has a fixed size and a text is scored inside its own row, without a join or a shuffle.
+It is fitted on a bounded sample of labelled documents, of which only bucket numbers come
+to the driver; the penalty keeps posteriors soft where words leave doubt, and their mean
+over the sample is each domain's share of it.
+
+The fit is projected-gradient least squares from rate 1, with lazy projection: gradient
+steps add up unprojected and the rate is the projection of their sum onto rates >= 0.
+Every gradient is a combination of the posteriors, so the sum is one number for each
+domain and the rate stays a short expression.  A step is scaled by the inverse of
+sum(tokens x p x p') over the documents whose rate is above zero and halved until the
+objective falls; each is one sum over all documents, of which a few numbers come to the
+driver.  Steps go on until the targets are met or no step brings them nearer; targets that
+no rates can meet are approached and the remaining gap is returned and warned of.
 
 Defined results: null text counts as empty and has no tokens, the prior as its
-posterior and a rate like any other; null ids are carried; repeated labels of a
-document count one by one; without labelled documents there is one domain,
-``unlabelled``; a target for a domain that no document can belong to is met as
-nearly as possible.
+posterior and a rate like any other; null ids are carried; of documents that repeat a
+labelled id one text is learned from, and of repeated labels the largest domain by name
+counts; equal texts have equal posteriors and rates; repeated documents are rated one by
+one; texts are read whole, however long; without labelled documents there is one domain,
+``unlabelled``; an empty table gives an empty result; a column of the documents that has
+the name of an added one is kept as ``<name>_in``, others are never read and may have any names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_sample, materialize
+from palimpsest.llm.common import bounded_sample, labelled_texts, materialize, renamed
 
 BREAK = r"[\x20\x09-\x0D]+"
-SAMPLE, WORDS, LEAST, PENALTY = 6000, 500, 5, 3.0
+SAMPLE, BUCKETS, PENALTY = 3000, 1 << 16, 3.0
+ADDED = ("n_tokens", "posterior", "rate", "copies", "gap")
 
 
 def tokens(text: Column) -> Column:
@@ -45,183 +53,209 @@ def tokens(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BREAK))
 
 
+def hashed(words: Column, buckets: int) -> Column:
+    """The distinct buckets of words."""
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Domains, their scores for a text without any listed word, and word weights."""
+    """Domains, their scores for a text without words, and a one-row table of bucket weights."""
 
     names: list[str]
     base: list[float]
-    table: DataFrame  # word, weights: one row for each listed word
+    buckets: int
+    table: DataFrame  # w0..wK: arrays of ``buckets`` numbers, less those of the last domain
 
 
-def _fit(rows: list[list[int]], labels: list[int], n_words: int, n_domains: int, penalty: float, steps: int = 400) -> np.ndarray:
+def _fit(rows: list[list[int]], labels: list[int], n_words: int, n_domains: int, penalty: float, steps: int = 100, tolerance: float = 1e-3) -> np.ndarray:
     """Weights (words + 1, domains) of the penalised likelihood, by accelerated gradient ascent; the last row is the base."""
-    x = np.zeros((len(rows), n_words + 1))
-    for i, row in enumerate(rows):
-        x[i, row] = 1.0
-    x[:, -1] = 1.0
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    cols = np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
+    used, cols = np.unique(cols, return_inverse=True)
+    n, m = len(rows), len(used)
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(at, w[cols, k], minlength=n) + w[-1, k] for k in range(w.shape[1])], axis=1)
+
+    def back(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.stack([np.bincount(cols, x[at, k], minlength=m) for k in range(x.shape[1])], axis=1), x.sum(axis=0, keepdims=True)])
+
     y = np.eye(n_domains)[labels]
-    ridge = np.full((n_words + 1, 1), penalty)
+    ridge = np.full((m + 1, 1), penalty)
     ridge[-1] = 1e-6
-    v = np.ones(n_words + 1)
-    for _ in range(30):  # the largest curvature, for a safe step
-        v = x.T @ (x @ v)
-        v /= np.linalg.norm(v)
-    step = 1.0 / (0.5 * float(v @ (x.T @ (x @ v))) + penalty)
-    w = np.zeros((n_words + 1, n_domains))
+    # a bound on the curvature along each weight: rare words may step far
+    step = 1.0 / (0.5 * back(forward(np.ones((m + 1, 1)))) + ridge)
+    w = np.zeros((m + 1, n_domains))
     ahead, pace = w, 1.0
     for _ in range(steps):
-        score = x @ ahead
+        score = forward(ahead)
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         p /= p.sum(axis=1, keepdims=True)
-        new = ahead + step * (x.T @ (y - p) - ridge * ahead)
+        new = ahead + step * (back(y - p) - ridge * ahead)
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        ahead = new + (pace - 1) / faster * (new - w)
+        moved = new - w
+        ahead = new + (pace - 1) / faster * moved
         w, pace = new, faster
-    return w
+        if np.abs(moved).max() < tolerance * max(1e-9, np.abs(w).max()):
+            break
+    w -= w[:, -1:]  # only differences matter
+    out = np.zeros((n_words + 1, n_domains))
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
-def lexicon(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE, words: int = WORDS, penalty: float = PENALTY) -> Model:
-    """Fits the classifier on at most ``sample`` labels and ``words`` words."""
+def classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE, buckets: int = BUCKETS, penalty: float = PENALTY) -> Model:
+    """Fits the classifier on at most ``sample`` labelled documents."""
     spark = docs.sparkSession
-    rows = labelled.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
-    picked = bounded_sample(rows.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")), "id", sample)
-    picked = materialize(picked, "sample")  # at most `sample` rows
-    train = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("domain", F.array_distinct(tokens(F.col(text_col))).alias("words"))
-    train = materialize(train.withColumn("row", F.monotonically_increasing_id()), "train")
-    have = sorted((r["domain"], r["n"]) for r in train.groupBy("domain").agg(F.count("*").alias("n")).collect())
-    if not have:
-        return Model(["unlabelled"], [0.0], _word_table(spark, [], []))
-    names, sizes = [d for d, _ in have], [n for _, n in have]
-    total = sum(sizes)
-    df = train.select("domain", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count("*").alias("df"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(names))
-    )
-    tells = F.lit(0.0)
-    for k, size in enumerate(sizes):
-        expected = F.col("df") * (size / total)
-        tells = tells + (F.col(f"n{k}") - expected) * (F.col(f"n{k}") - expected) / expected  # chi-squared
-    best = df.where(F.col("df") >= LEAST).withColumn("tells", F.round(tells, 9)).orderBy(F.desc("tells"), "word").limit(words)
-    listed = [r["word"] for r in best.select("word").collect()]
-    place = {w: k for k, w in enumerate(listed)}
-    told = train.select("domain", F.filter("words", lambda w: w.isin(*listed)).alias("words")) if listed else train.select("domain", F.array().cast("array<string>").alias("words"))
-    sampled = [(names.index(r["domain"]), [place[w] for w in r["words"]]) for r in told.collect()]  # bounded by sample x words
-    w = _fit([r for _, r in sampled], [d for d, _ in sampled], len(listed), len(names), penalty)
-    return Model(names, w[-1].tolist(), _word_table(spark, listed, w[:-1].tolist()))
-
-
-def _word_table(spark: SparkSession, words: list[str], weights: list[list[float]]) -> DataFrame:
-    rows = json.dumps([{"word": w, "weights": x} for w, x in zip(words, weights, strict=True)])
-    return spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<word:string,weights:array<double>>>")).alias("r")).select("r.*")
-
-
-def _scores(slim: DataFrame, model: Model) -> DataFrame:
-    """carried, n_tokens and l0..lK, log scores, from (carried, n_tokens, distinct words)."""
-    numbered = slim.withColumn("row", F.monotonically_increasing_id())  # before the explode: one number a document
-    rows = numbered.select("carried", "row", "n_tokens", F.explode_outer("words").alias("word"))
-    spoke = rows.join(F.broadcast(model.table), "word", "left")  # a bounded list
-    logs = [(F.lit(b) + F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0))).alias(f"l{k}") for k, b in enumerate(model.base)]
-    return spoke.groupBy("row").agg(F.any_value("carried").alias("carried"), F.any_value("n_tokens").alias("n_tokens"), *logs)
-
-
-def _posteriors(k: int) -> Column:
-    logs = [F.col(f"l{i}") for i in range(k)]
-    top = F.greatest(*logs) if k > 1 else logs[0]
-    each = [F.exp(x - top) for x in logs]
-    whole = each[0]
-    for x in each[1:]:
-        whole = whole + x
-    return F.array(*(x / whole for x in each))
-
-
-def memberships(docs: DataFrame, model: Model, carry: list[Column], text_col: str = "text") -> DataFrame:
-    """The ``carry`` columns, n_tokens and p0..pK of every document."""
+    once = labelled.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(domain_col).alias("y"))
+    picked = materialize(bounded_sample(once, "id", sample), "sample")  # at most `sample` rows
+    train = labelled_texts(docs, picked, id_col, text_col).select("y", F.sort_array(hashed(tokens(F.col("text")), buckets)).alias("words"))
+    found = sorted((r["y"], r["words"]) for r in train.collect())  # at most `sample` rows of distinct buckets
+    names = sorted({d for d, _ in found})
+    if not names:
+        return Model(["unlabelled"], [0.0], buckets, _weights(spark, np.zeros((buckets, 1))))
+    place = {d: k for k, d in enumerate(names)}
+    w = _fit([r for _, r in found], [place[d] for d, _ in found], buckets, len(names), penalty)
+    return Model(names, w[-1].tolist(), buckets, _weights(spark, w[:-1]))
+
+
+def _weights(spark: SparkSession, w: np.ndarray) -> DataFrame:
+    """One row with an array of bucket weights for each domain, in the shared folder."""
+    row = json.dumps([[round(float(x), 6) for x in w[:, k]] for k in range(w.shape[1])])
+    whole = spark.range(1).select(F.from_json(F.lit(row), "array<array<double>>").alias("w"))
+    return materialize(whole.select(*(F.get("w", F.lit(k)).alias(f"w{k}") for k in range(w.shape[1]))), "weights")
+
+
+def _posterior(words: Column, model: Model) -> Column:
+    """Posteriors of an array of distinct buckets, from the columns w0..wK; the last domain's score is its base."""
+
+    def total(k: int) -> Column:
+        add = lambda ws: F.aggregate(words, F.lit(float(model.base[k])), lambda a, h: a + F.get(ws, h))
+        return F.get(F.transform(F.array(f"w{k}"), add), F.lit(0))
+
+    def share(logs: Column) -> Column:
+        top = F.array_max(logs)
+        each = F.transform(logs, lambda x: F.exp(x - top))
+        whole = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(each, lambda x: x / whole)
+
+    last = len(model.names) - 1
+    logs = F.array(*(total(k) for k in range(last)), F.lit(float(model.base[last])))
+    return F.get(F.transform(F.array(logs), share), F.lit(0))
+
+
+def soft(docs: DataFrame, model: Model, text_col: str, carry: list[Column]) -> DataFrame:
+    """The ``carry`` columns as a struct ``carried``, n_tokens and ``p``, the posteriors in order of domains.
+
+    All inside a text's own row: nothing is shuffled.
+    """
     words = docs.select(F.struct(*carry).alias("carried"), tokens(F.col(text_col)).alias("words"))
-    slim = words.select("carried", F.size("words").cast("long").alias("n_tokens"), F.array_distinct("words").alias("words"))
-    soft = _scores(slim, model).select("carried", "n_tokens", _posteriors(len(model.names)).alias("p"))
-    return soft.select("carried.*", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(len(model.names))))
-
-
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gaussian elimination with pivots; a direction without mass is left at zero."""
-    n = len(right)
-    rows = [[*m, r] for m, r in zip(matrix, right, strict=True)]
-    floor = 1e-9 * max((matrix[k][k] for k in range(n)), default=0.0)
-    pivots = []
-    for k in range(n):
-        best = max(range(k, n), key=lambda i: abs(rows[i][k]))
-        rows[k], rows[best] = rows[best], rows[k]
-        if abs(rows[k][k]) <= floor:
-            continue
-        pivots.append(k)
-        for i in range(n):
-            if i != k:
-                share = rows[i][k] / rows[k][k]
-                rows[i] = [a - share * b for a, b in zip(rows[i], rows[k], strict=True)]
-    return [rows[k][n] / rows[k][k] if k in pivots else 0.0 for k in range(n)]
-
-
-def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, steps: int = 30, tolerance: float = 1e-6) -> Column:
-    """The rate of a row of ``members`` as a column over its posteriors.
+    slim = words.select("carried", F.size("words").cast("long").alias("n_tokens"), hashed(F.col("words"), model.buckets).alias("words"), F.monotonically_increasing_id().alias("row"))
+    # The weights are scalar subqueries, read once.  The row number keeps this projection apart from the one
+    # below it, so that it merges with the next: the weights then stay beside the expression, out of the rows.
+    weights = [model.table.select(f"w{k}").scalar().alias(f"w{k}") for k in range(len(model.names) - 1)]
+    whole = slim.select("carried", "n_tokens", "words", "row", *weights)
+    return whole.select("carried", "n_tokens", F.when(F.col("row") >= 0, _posterior(F.col("words"), model)).alias("p"))
+
+
+@dataclass(frozen=True)
+class Rates:
+    """The rate as a column over ``p``; the largest gap to a target as a share of all tokens; steps taken."""
+
+    rate: Column
+    gap: float
+    steps: int
+
+
+def _at(scores: list[float]) -> Column:
+    """1 + sum(score x posterior), projected onto values from zero up."""
+    total = F.lit(1.0)
+    for k, x in enumerate(scores):
+        total = total + F.lit(float(x)) * F.get("p", F.lit(k))
+    return F.greatest(F.lit(0.0), total)
+
+
+def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, steps: int = 200, tolerance: float = 1e-6) -> Rates:
+    """Rates of the rows of ``members`` (n_tokens, p).
 
     ``targets``: domain to weight, scaled to sum 1 over the known domains;
     ``budget``: the mix's tokens, by default as many as the documents have.
     """
-    p = [F.col(f"p{k}") for k in range(len(names))]
-    sums = [F.sum(F.col("n_tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(len(p)) for b in range(a, len(p))]
-    first = members.agg(F.sum("n_tokens").alias("all"), *sums).first()
+    n = len(names)
+    first = members.agg(F.sum("n_tokens").alias("all")).first()
     total = float(first["all"] or 0)
-    matrix = [[float(first[f"m{min(a, b)}_{max(a, b)}"] or 0) for b in range(len(p))] for a in range(len(p))]
     weight = sum(targets.get(d, 0.0) for d in names)
     if not total or not weight:
-        return F.lit(1.0)
-    wanted = [targets.get(d, 0.0) / weight * (total if budget is None else budget) for d in names]
-    rate = F.lit(1.0)
-    for _ in range(steps):
-        got = members.agg(*(F.sum(rate * F.col("n_tokens") * x).alias(f"t{k}") for k, x in enumerate(p))).first()
-        left = [w - float(got[f"t{k}"] or 0) for k, w in enumerate(wanted)]
-        if max(abs(x) for x in left) <= tolerance * total:
-            break
-        step = _solve(matrix, left)
-        change = F.lit(0.0)
-        for x, c in zip(p, step, strict=True):
-            change = change + x * c
-        rate = F.greatest(F.lit(0.0), rate + change)
-    return rate
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry: list[Column], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The ``carry`` columns of every document with n_tokens, posteriors, rate and copies.
-
-    ``copies`` rounds the rate up or down by a hash of the carried values, so that
-    its mean over equal rates is the rate.
+        return Rates(F.lit(1.0), 0.0, 0)
+    wanted = np.array([targets.get(d, 0.0) / weight * (total if budget is None else budget) for d in names])
+
+    def look(scores: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The objective, what is missing of each target, and the curvature over rates above zero."""
+        rate, p, t = _at(scores.tolist()), [F.get("p", F.lit(k)) for k in range(n)], F.col("n_tokens")
+        rows = members.select(t, "p", rate.alias("rate"))
+        rate = F.col("rate")
+        sums = [F.sum(rate * t * p[k]).alias(f"t{k}") for k in range(n)]
+        sums += [F.sum(F.when(rate > 0, t * p[a] * p[b]).otherwise(F.lit(0.0))).alias(f"m{a}_{b}") for a in range(n) for b in range(a, n)]
+        got = rows.agg(F.sum(rate * rate * t).alias("f"), *sums).first()
+        curve = np.array([[float(got[f"m{min(a, b)}_{max(a, b)}"] or 0) for b in range(n)] for a in range(n)])
+        return 0.5 * float(got["f"]) - float(scores @ wanted), wanted - np.array([float(got[f"t{k}"] or 0) for k in range(n)]), curve
+
+    scores = np.zeros(n)
+    value, left, curve = look(scores)
+    taken, best, stale = 0, np.abs(left).max(), 0
+    while taken < steps and np.abs(left).max() > tolerance * total and stale < 12:
+        move = np.linalg.lstsq(curve + 1e-9 * total * np.eye(n), left, rcond=None)[0]
+        size = 1.0
+        while True:
+            taken += 1
+            new = look(scores + size * move)
+            if new[0] <= value - 1e-4 * size * float(left @ move) + 1e-12 * abs(value) or size < 1e-4:
+                break
+            size /= 2
+        scores = scores + size * move
+        value, left, curve = new
+        gap = np.abs(left).max()
+        best, stale = (gap, 0) if gap < 0.99 * best else (best, stale + 1)
+    gap = float(np.abs(left).max() / total)
+    if gap > max(tolerance, 1e-4):
+        warnings.warn(f"the documents cannot meet the targets: {gap:.2%} of all tokens remain", stacklevel=2)
+    return Rates(_at(scores.tolist()), gap, taken)
+
+
+def _copies(seed: Column) -> Column:
+    """``rate`` rounded up or down by a hash, so that the mean over equal rates is the rate."""
+    chance = F.pmod(seed, F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long").alias("copies")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry: list[str], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The ``carry`` columns of every document with n_tokens, posterior, rate, copies and gap.
+
+    ``gap``: the largest distance of a domain from its target, as a share of all tokens.
     """
-    model = lexicon(docs, labelled, id_col, text_col, **options)
-    names = model.names
-    members = materialize(memberships(docs, model, carry, text_col), "members")
-    kept = [c for c in members.columns if c != "n_tokens" and not (c[0] == "p" and c[1:].isdigit())]
-    rate = fit_rates(members, names, targets, budget)
-    posteriors = F.create_map(*(x for k, d in enumerate(names) for x in (F.lit(d), F.col(f"p{k}"))))
-    chance = F.pmod(F.xxhash64(*kept), F.lit(1 << 30)) / float(1 << 30)
-    rated = members.select(*kept, "n_tokens", posteriors.alias("posterior"), rate.alias("rate"))
-    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
+    model = classifier(docs, labelled, id_col, text_col, **options)
+    members = materialize(soft(docs, model, text_col, [F.col(f"`{c}`") for c in carry]), "members")
+    rates = fit_rates(members, model.names, targets, budget)
+    posterior = F.create_map(*(x for k, d in enumerate(model.names) for x in (F.lit(d), F.get("p", F.lit(k)))))
+    rated = members.select("carried", "n_tokens", posterior.alias("posterior"), rates.rate.alias("rate"))
+    out = rated.select("carried", "n_tokens", "posterior", "rate", _copies(F.xxhash64("carried")), F.lit(rates.gap).alias("gap"))
+    kept = renamed(docs.select(*(f"`{c}`" for c in carry)), *ADDED).columns
+    return out.select(*(F.col("carried").getField(c).alias(k) for c, k in zip(carry, kept, strict=True)), *ADDED)
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns of ``docs`` with n_tokens, rate and copies.
 
-    A rate is a function of the text, so rates are kept once a text, by its digest,
-    and joined back; texts themselves move only in that join.
+    Documents are written once with their posteriors and never shuffled; the rates are
+    fitted over the numbers alone.
     """
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    rated = mix(docs, labelled, targets, [digest.alias("_digest")], id_col=id_col, text_col=text_col, **options)
-    once = rated.groupBy("_digest").agg(F.first("n_tokens").alias("n_tokens"), F.first("rate").alias("rate"))
-    once = materialize(once, "rates")
-    mine = docs.drop("n_tokens", "rate", "copies").withColumn("_digest", digest)
-    rows = mine.join(once, "_digest").drop("_digest")
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
+    rows = mix(docs, labelled, targets, docs.columns, None, id_col, text_col, **options)
+    added = ("n_tokens", "rate", "copies")
+    shown = renamed(docs, *ADDED).columns
+    kept = renamed(docs, *added).columns
+    return rows.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(shown, kept, strict=True)), *added)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

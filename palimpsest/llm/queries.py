@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import functions as F
-
 import corpus_pipeline
 from palimpsest.llm import chat, compression, decontaminate, langid, licenses, mixing, nbsvm, secrets, simhash, toxicity
 from palimpsest.llm.common import read
@@ -25,8 +23,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.quality_domains(read(spark, sf_dir, "labels"))
-    carry = [F.col("doc_id"), F.col("source")]
-    return mixing.mix(read(spark, sf_dir, "documents"), labelled, mixing.TARGETS, carry)
+    return mixing.mix(read(spark, sf_dir, "documents"), labelled, mixing.TARGETS, ["doc_id", "source"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
