@@ -20,14 +20,21 @@ larger than ``shard_rows`` is dealt into parts; each pair of parts is a task of
 its own, so no task holds more than two parts.  Each task returns a spanning
 forest of its links, not the pairs.
 
+``near_duplicates`` links 4-word fingerprints within 4 bits.  ``keep_one`` looks for
+texts that share 0.8 or more of their five-word shingles, which differ by some 10 of 64
+bits: too many to search by.  It searches fingerprints of word pairs within 8 bits, and
+a pair of texts counts if their five-word fingerprints differ by at most 14 bits too.
+
 Defined results: null or wordless text has fingerprint zero, linked like any
 other; repeated rows share a component; a null id is left out of a component's
-smallest id, and a component of null ids only has a null id; an empty table
-gives an empty result.
+smallest id, and a component of null ids only has a null id; ties of an id go to the
+text of the smaller digest; texts are read whole, however long; an empty table gives an
+empty result; other columns are carried or left out, never read, and may have any names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +49,16 @@ from palimpsest.operators.components import components
 RADIUS, SHINGLE, SEED = 4, 4, 42
 
 
+@dataclass(frozen=True)
+class Alike:
+    """When texts are near duplicates: words of the searched and of the checked shingles, and most bits apart."""
+
+    width: int = 2
+    radius: int = 8
+    check_width: int = 5
+    check_radius: int = 14
+
+
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
     """Bit k is 1 if set in over half the shingles' hashes; signed 64 bits."""
     words = (text or b"").lower().split()
@@ -64,21 +81,23 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed 64 bits) and a digest of the text, for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widths: tuple[int, ...] = (SHINGLE,)) -> DataFrame:
+    """doc_id, a digest of the text and fp, fp1, ... (signed 64 bits) for the shingle widths, of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"fp{k or ''}" for k in range(len(widths))]
 
     def make():
         def step(batch):
-            schema = pa.schema([batch.schema.field(0), ("fp", pa.int64()), batch.schema.field(2)])
-            return table_batch(schema, batch.column(0), [fingerprint(t) for t in batch.column(1).to_pylist()], batch.column(2))
+            schema = pa.schema([batch.schema.field(0), batch.schema.field(1), *((n, pa.int64()) for n in names)])
+            texts = batch.column(2).to_pylist()
+            return table_batch(schema, batch.column(0), batch.column(1), *([fingerprint(t, w) for t in texts] for w in widths))
 
         return step
 
     slim = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), text_key(F.col(text_col)).alias("digest")
+        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("digest"), F.col(text_col).cast("binary").alias("text")
     )
-    return map_batches(slim, make, f"doc_id {kind}, fp long, digest long")
+    return map_batches(slim, make, f"doc_id {kind}, digest long, " + ", ".join(f"{n} long" for n in names))
 
 
 def text_key(text):
@@ -136,12 +155,15 @@ def search(values: np.ndarray, queries: np.ndarray, stored: np.ndarray, radius:
                 yield some[i], s[j]
 
 
-def forest(values: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(nodes: np.ndarray, values: np.ndarray, checks: np.ndarray, side: np.ndarray, radius: int, check_radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest: within side 0 if there is no side 1, else across."""
     everyone = np.arange(len(values))
     left, right = everyone[side == 0], everyone[side == 1]
     root = everyone.copy()
     for i, j in search(values, left, right if len(right) else left, radius):
+        if check_radius < 64:
+            near = np.bitwise_count(checks[i] ^ checks[j]) <= check_radius
+            i, j = i[near], j[near]
         pairs = np.stack([root[i], root[j]])
         pairs = pairs[:, pairs[0] != pairs[1]]
         if not pairs.size:
@@ -163,13 +185,13 @@ def forest(values: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarra
             moved[x] = find(x)
         root = moved[root]
     linked = np.flatnonzero(root != everyone)
-    return values[linked], values[root[linked]]
+    return nodes[linked], nodes[root[linked]]
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _shard_links(radius: int):
+def _shard_links(radius: int, check_radius: int):
     """Links within each run of equal (choice, key, part) of a sorted partition."""
 
     def run(batches):
@@ -179,16 +201,16 @@ def _shard_links(radius: int):
             cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(rows)]
             found = [
-                forest(rows[a:b, 3].view(np.uint64), rows[a:b, 4], radius)
+                forest(rows[a:b, 3], rows[a:b, 4].view(np.uint64), rows[a:b, 5].view(np.uint64), rows[a:b, 6], radius, check_radius)
                 for a, b in zip(starts, ends, strict=True)
                 if b - a > 1
             ]
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True)) if found else ([], [])
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [])
             if len(a):
                 yield table_batch(_EDGE, pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], axis=1)
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
             if not len(rows):
                 continue
             rows = np.concatenate([*kept, rows])
@@ -203,17 +225,21 @@ def _shard_links(radius: int):
     return run
 
 
-def links(distinct: DataFrame, count: int, radius: int = RADIUS, shard_rows: int = 20_000) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints within ``radius``, a forest a shard."""
+def links(distinct: DataFrame, count: int, radius: int = RADIUS, shard_rows: int = 20_000, check_radius: int = 64) -> DataFrame:
+    """Edges (a, b) that connect all nodes alike enough, a forest a shard.
+
+    ``distinct``: node, fp and check; nodes are alike if their fp are within ``radius`` bits
+    and their check within ``check_radius`` (64: any).
+    """
     m = plan(count, radius)
-    rows = distinct.select("fp", F.explode(shard_keys(m, radius)).alias("s")).select("s.choice", "s.key", "fp")
+    rows = distinct.select("node", "fp", "check", F.explode(shard_keys(m, radius)).alias("s")).select("s.choice", "s.key", "node", "fp", "check")
     sizes = rows.groupBy("choice", "key").count().where(F.col("count") > shard_rows)
     hot = materialize(sizes.select("choice", "key", F.ceil(F.col("count") / shard_rows).cast("long").alias("parts")), "shards")
     if hot.isEmpty():
-        dealt = rows.select("choice", "key", F.lit(0).cast("long").alias("part"), "fp", F.lit(0).alias("side"))
+        dealt = rows.select("choice", "key", F.lit(0).cast("long").alias("part"), "node", "fp", "check", F.lit(0).alias("side"))
     else:
         with_parts = rows.join(hot, ["choice", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        mine = F.pmod(F.xxhash64("node"), F.col("parts"))
         # a part meets itself and each other part once; `part` names the pair of parts
         dealt = (
             with_parts.withColumn("mine", mine)
@@ -222,48 +248,52 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, shard_rows: int
                 "choice",
                 "key",
                 (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("part"),
+                "node",
                 "fp",
+                "check",
                 (F.col("mine") > F.col("other")).cast("int").alias("side"),
             )
         )
     sorted_rows = dealt.repartition("choice", "key", "part").sortWithinPartitions("choice", "key", "part")
-    return sorted_rows.mapInArrow(_shard_links(radius), "a long, b long")
+    return sorted_rows.mapInArrow(_shard_links(radius, check_radius), "a long, b long")
 
 
-def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of ``prints``."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    nodes = components(links(distinct, distinct.count(), radius))
-    linked = materialize(distinct.join(nodes, distinct.fp == nodes.node).select("fp", "root", "first"), "linked")
+def groups(nodes: DataFrame, radius: int = RADIUS, check_radius: int = 64, shard_rows: int = 20_000) -> DataFrame:
+    """(node, component_id) for every distinct node of (doc_id, node, fp, check)."""
+    distinct = materialize(nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("check").alias("check")), "fingerprints")
+    found = components(links(distinct, distinct.count(), radius, shard_rows, check_radius)).select(F.col("node").alias("n"), "root")
+    linked = materialize(distinct.join(found, F.col("node") == F.col("n")).select("node", "root", "first"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select("fp", "least")
-    alone = distinct.join(named, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    return materialize(named.select("fp", F.col("least").alias("component_id")).unionByName(alone), "groups")
+    named = linked.join(least, "root").select("node", "least")
+    alone = distinct.join(named, "node", "left_anti").select("node", F.col("first").alias("component_id"))
+    return materialize(named.select("node", F.col("least").alias("component_id")).unionByName(alone), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex) and component_id."""
-    prints = materialize(fingerprints(docs, id_col, text_col), "prints")
-    return prints.join(groups(prints, radius), "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    prints = materialize(fingerprints(docs, id_col, text_col), "prints").withColumn("node", F.col("fp"))
+    found = groups(prints.withColumn("check", F.lit(0).cast("long")), radius)
+    return prints.join(found, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: Alike = Alike(), shard_rows: int = 4096) -> DataFrame:
     """The documents with one of each component: that of the smallest id.
 
-    Rows that repeat the same id and text are one document.
+    Nodes are distinct texts.  Rows that repeat the same id and text are one document.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "prints")
-    named = prints.join(groups(prints, radius), "fp")
-    # (id, digest) orders the rows of a component; a null id comes last
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
-    component = F.when(F.col("component_id").isNull(), F.col("fp"))  # null ids only: one for each fingerprint
+    prints = fingerprints(docs, id_col, text_col, (alike.width, alike.check_width))
+    prints = materialize(prints.withColumnsRenamed({"digest": "node", "fp1": "check"}), "prints")
+    named = prints.join(groups(prints, alike.radius, alike.check_radius, shard_rows), "node")
+    # (id, node) orders the rows of a component; a null id comes last
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
+    component = F.when(F.col("component_id").isNull(), F.col("node"))  # null ids only: one for each text
     chosen = named.groupBy("component_id", component.alias("c")).agg(F.min(order).alias("best"), F.count("*").alias("n"))
-    chosen = materialize(chosen.select("best.id", "best.digest"), "chosen")
-    key = text_key(F.col(text_col))
-    kept = docs.join(chosen.withColumnsRenamed({"id": "_id", "digest": "_digest"}), F.col(id_col).eqNullSafe(F.col("_id")) & (key == F.col("_digest")), "left_semi")
-    again = prints.join(chosen, prints.doc_id.eqNullSafe(chosen.id) & (prints.digest == chosen.digest)).groupBy("id", chosen.digest).count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
+    chosen = materialize(chosen.select("best.id", "best.node"), "chosen")
+    # the documents ride in a struct, so that no name of theirs can clash
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("key"), text_key(F.col(text_col)).alias("digest"))
+    kept = whole.join(chosen, F.col("key").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("node")), "left_semi")
+    again = prints.select("doc_id", F.col("node").alias("digest")).join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("node")))
+    again = again.groupBy("doc_id", "digest").count().where("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["key", "digest"])
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
