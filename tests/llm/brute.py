@@ -47,9 +47,9 @@ def secrets(text):
     return [sum(f[1] == k for f in found) for k in range(3)], hashlib.sha256(line.encode()).hexdigest(), line
 
 
-def fingerprint(text):
+def fingerprint(text, width=4):
     words = re.findall(SPACE, ascii_lower(text or ""))
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)] if words else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -57,6 +57,21 @@ def fingerprint(text):
 def simhash_components(rows):
     """rows: (doc_id, text) -> {index: (fingerprint, component)}."""
     prints = [fingerprint(t) for _, t in rows]
+    return [(f"{p:016x}", c) for p, c in zip(prints, linked_components(rows, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4), strict=True)]
+
+
+def alike_components(rows, width, radius, check_width, check_radius):
+    """Each row's component, by two fingerprints; equal texts are alike."""
+    a, b = [fingerprint(t, width) for _, t in rows], [fingerprint(t, check_width) for _, t in rows]
+    return linked_components(rows, lambda i, j: (a[i] ^ a[j]).bit_count() <= radius and (b[i] ^ b[j]).bit_count() <= check_radius)
+
+
+def one_of_each(rows, component):
+    """(doc_id, text) with the smallest id of each component, each text of one without ids; rows that repeat both are one."""
+    return sorted({(d, t) for (d, t), c in zip(rows, component, strict=True) if d == c}, key=repr)
+
+
+def linked_components(rows, link):
     root = list(range(len(rows)))
 
     def find(x):
@@ -66,13 +81,13 @@ def simhash_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if link(i, j):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return [(f"{p:016x}", least.get(find(i))) for i, p in enumerate(prints)]
+    return [least.get(find(i)) for i in range(len(rows))]
 
 
 def places(words, size):

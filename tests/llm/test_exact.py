@@ -133,8 +133,14 @@ def test_simhash(docs, texts):
     got = simhash.near_duplicates(docs).collect()
     expected = brute.simhash_components(texts)
     same([(r.doc_id, r.fingerprint, r.component_id) for r in got], [(d, *e) for (d, _), e in zip(texts, expected, strict=True)])
-    assert simhash.keep_one(docs).count() == len({e[1] for e in expected})
-    assert simhash.keep_one(docs).columns == docs.columns
+
+
+def test_keep_one(docs, texts):
+    alike = simhash.Alike()
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    expected = brute.alike_components(texts, alike.width, alike.radius, alike.check_width, alike.check_radius)
+    same([(r.doc_id, r.text) for r in kept.collect()], brute.one_of_each(texts, expected))
 
 
 @pytest.mark.parametrize("shard_rows", [20_000, 7])
@@ -162,7 +168,7 @@ def test_simhash_links(spark, shard_rows, target, monkeypatch):
             if (a ^ b).bit_count() <= 4:
                 root[find(a)] = find(b)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = spark.createDataFrame([(signed(p), i) for i, p in enumerate(prints)], "fp long, first long")
+    rows = spark.createDataFrame([(signed(p), signed(p), 0) for p in prints], "node long, fp long, check long")
     real = simhash.plan
     monkeypatch.setattr(simhash, "plan", lambda count, radius: real(count, radius, target))
     nodes = simhash.components(simhash.links(rows, len(prints), 4, shard_rows)).collect()

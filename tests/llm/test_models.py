@@ -1,5 +1,6 @@
 """Chat collapse, classifiers, mixing and the pipeline."""
 
+import hashlib
 import random
 import zlib
 
@@ -29,8 +30,8 @@ def plain_collapse(conversations):
     return {(c, len(s), sum(o == s for o in said.values())) for s, c in kept.items()}
 
 
-@pytest.mark.parametrize("block_turns", [4096, 3])
-def test_snapshots_collapse(spark, block_turns):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_snapshots_collapse(spark, ranges):
     rng = random.Random(2)
     conversations, c = [], 0
     for _ in range(25):
@@ -38,8 +39,8 @@ def test_snapshots_collapse(spark, block_turns):
         for cut in rng.sample(range(1, len(said) + 1), rng.randrange(1, len(said) + 1)) + [len(said)]:
             conversations.append((c, said[:cut]))
             c += 1
-    table = turns(spark, conversations).withColumns({"block": F.lit(1), "at": F.lit(2), "n": F.lit(3)}).repartition(3)
-    got = {tuple(r) for r in chat.collapse(table, block_turns=block_turns).collect()}
+    table = turns(spark, conversations).withColumns({"range": F.lit(1), "at": F.lit(2), "n": F.lit(3)}).repartition(3)
+    got = {tuple(r) for r in chat.collapse(table, ranges=ranges).collect()}
     assert got == plain_collapse(conversations)
 
 
@@ -49,7 +50,7 @@ def test_rendering(spark):
     kept = chat.collapse(table)
     one = chat.render(table, kept).collect()
     assert [(r.conv_id, r.part, r.chat) for r in one] == [(1, 0, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>unknown\n<|im_end|>\n")]
-    parts = chat.render(table, kept, part_turns=2, block_turns=2).orderBy("part").collect()
+    parts = chat.render(table, kept, part_turns=2, ranges=3).orderBy("part").collect()
     assert "".join(r.chat for r in parts) == one[0].chat and len(parts) == 2
 
 
@@ -61,6 +62,19 @@ def test_ties_and_nulls_in_turns(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("conv_id", [7, None])
+def test_one_long_conversation_of_tied_turns(spark, conv_id):
+    """It is dealt over many ranges, whose turns are numbered and hashed as if they were one."""
+    rows = [(conv_id, k // 90 or None, "user", f"said {k % 40}") for k in range(300)]
+    rows += [(8, t, r, x) for _, t, r, x in rows[:100]]
+    said = sorted(rows[:300], key=lambda r: (r[1] or 0, hashlib.md5(f"user\n{r[3]}".encode()).hexdigest()))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    line = "".join(f"<|im_start|>user\n{r[3]}<|im_end|>\n" for r in said)
+    for ranges in (None, 25):
+        parts = chat.format_chats(table, part_turns=64, ranges=ranges).where(F.col("conv_id").eqNullSafe(F.lit(conv_id))).orderBy("part").collect()
+        assert "".join(r.chat for r in parts) == line and [r.n_turns for r in parts] == [300] * 5
+
+
 def fold(doc_id, modulus):
     return zlib.crc32(str(doc_id).encode()) % modulus
 
@@ -80,16 +94,16 @@ def test_neighbours_are_exact():
     rng = np.random.default_rng(4)
     n, terms = 400, 30
     vectors = []
-    for _ in range(n):
-        found = rng.choice(terms, size=rng.integers(1, 6), replace=False)
-        w = rng.uniform(0.2, 2, len(found))
-        vectors.append({int(t): float(x) for t, x in zip(found, w / np.linalg.norm(w), strict=True)})
+    for k in range(n):
+        found = np.sort(rng.choice(terms, size=rng.integers(1, 6), replace=False))
+        w = rng.uniform(0.2, 2, len(found)) if k % 4 else np.ones(len(found))  # a quarter has many ties
+        vectors.append((found, w / np.linalg.norm(w)))
     index = toxicity.Index(list(range(n)), np.zeros(n), vectors, np.ones(n), terms, toxicity.Limits(neighbours=7, block=16))
-    for q in vectors[:60]:
-        sims = np.array([sum(q[t] * v.get(t, 0.0) for t in q) for v in index.vectors])
+    for t, w in vectors[:120]:
+        sims = np.array([sum(x * v[1][v[0] == k].sum() for k, x in zip(t, w, strict=True)) for v in vectors])
         least = np.sort(sims)[-7]
         expected = {i for i in range(n) if sims[i] > 1e-12 and sims[i] >= least - 1e-9}
-        assert set(index.nearest(q)[0].tolist()) == expected
+        assert {index.ids[r] for r in index.nearest(t, w)[0]} == expected
 
 
 def test_quality(spark):
@@ -141,15 +155,15 @@ def test_models_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.toxicity(docs, labels).collect()} == {(0.0, 0)}
     assert {(r.score, r.predicted) for r in nbsvm.quality(docs, labels).collect()} == {(0.0, 0)}
-    out = mixing.mix(docs, mixing.quality_domains(labels), {"unlabelled": 1.0}, [F.col("doc_id")]).collect()
+    out = mixing.mix(docs, mixing.quality_domains(labels), {"unlabelled": 1.0}, ["doc_id"]).collect()
     assert {(r.n_tokens, r.rate, r.copies) for r in out} == {(2, 1.0, 1), (0, 1.0, 1)}
-    assert mixing.mix(docs.limit(0), mixing.quality_domains(labels), {"x": 1.0}, [F.col("doc_id")]).count() == 0
+    assert mixing.mix(docs.limit(0), mixing.quality_domains(labels), {"x": 1.0}, ["doc_id"]).count() == 0
 
 
 def test_mix_meets_targets(spark):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     targets = {"civil": 0.85, "toxic": 0.15}
-    rows = mixing.mix(docs.withColumn("row", F.lit(0)), mixing.civility_domains(labels), targets, [F.col("doc_id")]).collect()
+    rows = mixing.mix(docs.withColumn("row", F.lit(0)), mixing.civility_domains(labels), targets, ["doc_id"]).collect()
     assert len(rows) == docs.count() and all(r.rate >= 0 for r in rows)
     assert {r.doc_id: r.n_tokens for r in rows} == {r.doc_id: brute.quality(r.text)[0] for r in docs.collect()}
     whole = sum(r.n_tokens for r in rows)
@@ -158,11 +172,28 @@ def test_mix_meets_targets(spark):
 
 
 def test_projection_stops_at_zero(spark):
-    members = spark.createDataFrame([(10, 0.9, 0.1), (10, 0.1, 0.9), (10, 0.5, 0.5)], "n_tokens long, p0 double, p1 double")
-    rate = mixing.fit_rates(members, ["x", "y"], {"x": 0.88, "y": 0.12}, steps=200)
-    rows = members.withColumn("rate", rate).collect()
+    members = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.1, 0.9]), (10, [0.5, 0.5])], "n_tokens long, p array<double>")
+    rates = mixing.fit_rates(members, ["x", "y"], {"x": 0.88, "y": 0.12})
+    rows = members.withColumn("rate", rates.rate).collect()
     assert min(r.rate for r in rows) == 0
-    assert sum(r.rate * 10 * r.p0 for r in rows) / 30 == pytest.approx(0.88, abs=2e-2)
+    assert sum(r.rate * 10 * r.p[0] for r in rows) / 30 == pytest.approx(0.88, abs=1e-5)
+
+
+@pytest.mark.parametrize("target", [0.7, 0.9, 0.95, 0.97])
+def test_hard_targets_are_met(spark, target):
+    rng = np.random.default_rng(3)
+    rows = [(int(t), [float(x), float(1 - x)]) for t, x in zip(rng.integers(20, 2000, 3000), rng.beta(8, 2, 3000), strict=True)]
+    members = spark.createDataFrame(rows, "n_tokens long, p array<double>").coalesce(2)
+    rates = mixing.fit_rates(members, ["x", "y"], {"x": target, "y": 1 - target})
+    got = members.select((rates.rate * F.col("n_tokens") * F.get("p", F.lit(0))).alias("t")).agg(F.sum("t")).first()[0]
+    assert got / sum(t for t, _ in rows) == pytest.approx(target, abs=1e-5) and rates.gap < 1e-5
+
+
+def test_unreachable_targets_are_reported(spark):
+    members = spark.createDataFrame([(10, [0.6, 0.4]), (10, [0.4, 0.6])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="cannot meet"):
+        rates = mixing.fit_rates(members, ["x", "y"], {"x": 0.9, "y": 0.1})
+    assert rates.gap > 0.1
 
 
 def test_pipeline(spark, tmp_path):
