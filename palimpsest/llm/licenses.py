@@ -10,7 +10,9 @@ notices a file has, each is found.
 
 Defined results: null text counts as empty; a text without words has no places,
 null first and last word, empty labels and score zero; repeated files are
-scanned one by one.
+scanned one by one; of equally good alignments any gives the same score; texts are read
+whole, however long; an empty table gives an empty result; columns other than id and text
+are never read and may have any names.
 """
 
 from __future__ import annotations
@@ -32,23 +34,42 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Label, notice text, mandatory key phrases (any one of them).
+# Label, clause of the licence or of its notice, mandatory key phrases (any one of them).
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", ("deal in the software without restriction",)),
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3", "gnu general public license v3")),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license as published by the free software foundation either version 3",)),
+    ("gpl-3", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu general public license version 3 29 june 2007",)),
     ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2", "gnu general public license v2")),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license as published by the free software foundation either version 2", "gnu general public license as published by the free software foundation version 2")),
     ("lgpl-3", "licensed under the gnu lesser general public license version 3", ("lesser general public license version 3",)),
+    ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("lesser general public license as published by the free software foundation either version 3",)),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", ("lesser general public license as published by the free software foundation either version 2 1", "lesser general public license version 2 1")),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("affero general public license",)),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("affero general public license as published by the free software foundation",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license v 2 0")),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain the above copyright notice",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("permission is granted to anyone to use this software for any purpose",)),
+    ("bsl-1", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
+    ("wtfpl", "do what the fuck you want to public license", ("do what the fuck you want to public license",)),
+    ("artistic-2", "licensed under the artistic license 2 0", ("artistic license 2 0", "artistic license version 2 0")),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives", "cc by nd")),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "to the extent possible under law the author has dedicated all copyright to the public domain cc0 1 0", ("cc0 1 0",)),
+    ("ofl-1.1", "licensed under the sil open font license version 1 1", ("sil open font license version 1 1",)),
 )
 
 
@@ -113,7 +134,8 @@ class Index:
             best = 0.0
             for key in keys:
                 for at in self.places(key, words, where):
-                    best = max(best, self.agreement(template, where, at + len(key) - len(template) - self.slack, at + self.slack))
+                    if best < 1.0:  # no alignment is better than a whole one
+                        best = max(best, self.agreement(template, where, at + len(key) - len(template) - self.slack, at + self.slack))
             if best >= self.least_share:
                 yield label, best
 
