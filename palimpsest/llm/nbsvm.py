@@ -1,45 +1,47 @@
-"""Quality classifier: naive Bayes scaled features under a linear hinge loss.
+"""Quality classifier: naive Bayes scaled n-grams under a linear hinge loss.
 
-Features are indicators of word and punctuation n-grams (one and two tokens),
-with two shapes beside them: a token equal to the one before, and a line equal to
-an earlier one.  Each indicator is scaled by its class log-count ratio, vectors are
+Features are indicators of n-grams, known by their 64-bit hashes: one and two words or
+runs of punctuation; and, over the marks that tell whether a token equals the one before it
+or a line an earlier one, runs of one to four repeats.  Each indicator is scaled by its class log-count ratio, vectors are
 brought to unit length, and dual coordinate descent fits the hinge loss.  Scores
 are probabilities from a logistic curve fitted to margins of held-back parts of the
 training rows.
 
-The model is fitted on a bounded sample of labelled rows and keeps a bounded list
-of n-grams; scoring reads every whole text.
+The model is fitted on a bounded sample of labelled rows and knows all their n-grams;
+scoring reads every whole text.
 
 Defined results: null text counts as empty; an empty text, and one with no known
 n-gram, get the score of a zero margin; repeated documents are scored one by one;
-of repeated labels the largest counts; with one class only the score is its share.
+of documents that repeat a labelled id one text is learned from, and labelled texts that
+are equal count once each label; of repeated labels the largest counts; with one class only
+the score is its share, 0 without labels; an empty table gives an empty result; columns other
+than id and text are never read and may have any names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_sample, fold, held_out, map_batches, materialize, share, table_batch
-from palimpsest.llm.toxicity import THRESHOLD, logistic
+from palimpsest.llm.common import bounded_sample, fold, held_out, labelled_texts, map_batches, materialize, share, table_batch
+from palimpsest.llm.toxicity import THRESHOLD, logistic, squashed
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what is learned, and the solver's parameters."""
+    """How many labelled rows are learned from, and the solver's parameters."""
 
     rows: int = 4000
-    features: int = 100_000
-    least_df: int = 3
+    least_df: int = 1
     cost: float = 1.0
     epochs: int = 15
     folds: int = 3
@@ -51,21 +53,28 @@ def features(text: str | None) -> set[str]:
         return set()
     tokens = _TOKEN.findall(text.lower())
     found = set(tokens)
-    pairs = set(zip(tokens, tokens[1:], strict=False))
-    found.update(f"{a} {b}" for a, b in pairs)
-    if any(a == b for a, b in pairs):
-        repeats = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
-        found.add("same token")
-        if repeats * 10 >= len(tokens):
-            found.add("many same token")
+    found.update(map(" ".join, set(zip(tokens, tokens[1:], strict=False))))
+    again = "".join("=" if a == b else "." for a, b in zip(tokens, tokens[1:], strict=False))
+    found.update(f"token {g}" for g in repeats(again))
+    seen: set[str] = set()
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(set(lines)) < len(lines):
-        found.add("same line")
-        if 10 * (len(lines) - len(set(lines))) >= 3 * len(lines):
-            found.add("many same line")
+    known = "".join("=" if x in seen or seen.add(x) else "." for x in lines)
+    found.update(f"line {g}" for g in repeats(known))
     return found
 
 
+def repeats(marks: str, most: int = 4) -> list[str]:
+    """The runs of up to ``most`` repeats among the marks."""
+    return [g for g in ("=" * n for n in range(1, most + 1)) if g in marks]
+
+
+def numbers(text: str | None) -> np.ndarray:
+    """The n-grams' hashes in rising order."""
+    found = features(text)
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter(map(digest, found), np.uint64, len(found)))
+
+
 def ratios(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Log ratio of each feature's smoothed share in the two classes."""
     yes, no = np.ones(size), np.ones(size)
@@ -104,17 +113,27 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.n
 
 
 class Model:
-    def __init__(self, names: list[str], ratio: np.ndarray, weights: np.ndarray, bias: float, slope: float, offset: float):
-        # margin = sum(ratio x weight) / length of the scaled vector + bias
-        self.parts = {n: (float(r * w), float(r * r)) for n, r, w in zip(names, ratio, weights, strict=True) if r}
+    """``known``: hashes in rising order; margin = sum(ratio x weight) / length of the scaled vector + bias."""
+
+    def __init__(self, known: np.ndarray, ratio: np.ndarray, weights: np.ndarray, bias: float, slope: float, offset: float):
+        told = ratio != 0
+        self.known, self.push, self.square = known[told], (ratio * weights)[told], (ratio * ratio)[told]
         self.bias, self.slope, self.offset = bias, slope, offset
 
     def score(self, text: str | None) -> float:
-        get = self.parts.get
-        known = [p for f in features(text) if (p := get(f)) is not None]
-        square = sum(p[1] for p in known)
-        margin = self.bias + (sum(p[0] for p in known) / math.sqrt(square) if square else 0.0)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.offset))))
+        at = places(self.known, numbers(text))
+        square = float(self.square[at].sum())
+        margin = self.bias + (float(self.push[at].sum()) / math.sqrt(square) if square else 0.0)
+        return squashed(self.slope * margin + self.offset)
+
+
+def places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where those of ``found`` that are known stand among ``known``; both in rising order."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(known, found)
+    at[at == len(known)] = 0
+    return at[known[at] == found]
 
 
 class Constant:
@@ -125,56 +144,37 @@ class Constant:
         return self.value
 
 
-def _vocabulary(train: DataFrame, limits: Limits) -> list[str]:
-    out = pa.schema([("f", pa.string()), ("n", pa.int64())])
-
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(features(text))
-        rows = list(counts.items())
-        for i in range(0, len(rows), 50_000):
-            yield table_batch(out, *zip(*rows[i : i + 50_000], strict=True))
-
-    df = train.select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    kept = df.where(F.col("n") >= limits.least_df).orderBy(F.desc("n"), "f").limit(limits.features)
-    return sorted(r.f for r in kept.collect())
-
-
 def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_col: str = "text", id_col: str = "doc_id") -> Model | Constant:
     """``labelled``: (id, y) rows that may be learned from; y is 0 or 1."""
     once = labelled.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    picked = materialize(bounded_sample(once, "id", limits.rows), "sample")
-    train = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("id", "y", F.col(text_col).alias("text"))
-    train = materialize(train, "train")
-    seen = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    total = sum(seen.values())
-    if len(seen) < 2:
-        return Constant(seen.get(1, 0) / total if total else 0.0)
-    names = _vocabulary(train, limits)
-    shared = share(docs.sparkSession, {n: i for i, n in enumerate(names)})
-    out = pa.schema([("id", pa.string()), ("y", pa.int32()), ("f", pa.list_(pa.int32()))])
+    picked = materialize(bounded_sample(once, "id", limits.rows), "sample")  # at most `rows` rows
+    train = labelled_texts(docs, picked, id_col, text_col)
+    train = train.groupBy(F.coalesce("text", F.lit("")).alias("text"), "y").agg(F.min("id").alias("id"))
+    out = pa.schema([("id", pa.string()), ("y", pa.int32()), ("f", pa.binary())])
 
     def make():
-        known = shared()
-
         def step(batch):
-            rows = [sorted(known[f] for f in features(t) if f in known) for t in batch.column(2).to_pylist()]
+            rows = [numbers(t).tobytes() for t in batch.column(2).to_pylist()]
             return table_batch(out, batch.column(0), batch.column(1), rows)
 
         return step
 
     slim = train.select(F.col("id").cast("string"), F.col("y").cast("int"), "text")
-    # a row holds at most `features` small integers; `rows` of them come to the driver, as Arrow
-    table = map_batches(slim, make, "id string, y int, f array<int>").toArrow().sort_by("id")
-    rows = [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in table.column("f")]
+    # hashes of `rows` texts come to the driver, as Arrow
+    table = map_batches(slim, make, "id string, y int, f binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     y = np.where(table.column("y").to_numpy() > 0, 1.0, -1.0)
-    cost = np.where(y > 0, limits.cost * total / (2 * (y > 0).sum()), limits.cost * total / (2 * (y < 0).sum()))
+    total, yes = len(y), int((y > 0).sum())
+    if not 0 < yes < total:
+        return Constant(yes / total if total else 0.0)
+    rows = [np.frombuffer(x, np.uint64) for x in table.column("f").to_pylist()]
+    known, df = np.unique(np.concatenate(rows), return_counts=True)
+    known = known[df >= limits.least_df]
+    rows = [places(known, r) for r in rows]
+    cost = np.where(y > 0, limits.cost * total / (2 * yes), limits.cost * total / (2 * (total - yes)))
 
     def train_on(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         part = [rows[i] for i in some]
-        ratio = ratios(part, y[some], len(names))
+        ratio = ratios(part, y[some], len(known))
         return ratio, *descend(part, y[some], ratio, cost[some], limits.epochs)
 
     everyone, margins = np.arange(len(rows)), np.zeros(len(rows))
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_co
             margins[i] = float(w[rows[i]] @ unit(rows[i], ratio)) + b
     slope, offset = logistic(margins, (y > 0).astype(float), np.ones(len(rows)))
     ratio, w, b = train_on(everyone)
-    return Model(names, ratio, w, b, slope, offset)
+    return Model(known, ratio, w, b, slope, offset)
 
 
 def score(docs: DataFrame, model: Model | Constant, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
