@@ -2,45 +2,54 @@
 
 A known word adds its log frequency in each language.  An unseen word is
 scored by its character n-grams: the longest size at which any of its n-grams
-is known, then progressively shorter ones down to single letters.
+is known, then progressively shorter ones down to single letters.  Words are runs of
+letters and of the marks that combine with them, by Unicode category; punctuation and
+digits of any script end a word.
 
 Only text and the language label of training rows are learned from.  The model
-is fitted on a bounded sample of each language and its word list is bounded too;
-prediction reads every whole text.
+is fitted on a bounded sample of each language and knows all its words; prediction
+reads every whole text.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 letters of which no n-gram is known give the most frequent language; ties go to
-the first language by name; if no labelled row is left to learn from, all texts
-are ``und``.
+the first language by name; equal texts of a language are learned from once and repeated
+documents are predicted one by one; if no labelled row is left to learn from, all texts
+are ``und``; an empty table gives an empty result; columns other than id, text and
+language are never read and may have any names.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, held_out, map_batches, share, table_batch
+from palimpsest.llm.common import fold, held_out, map_batches, materialize, share, table_batch
 
-_SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_ASCII = bytes(b if chr(b).isalpha() and b < 128 else 32 for b in range(256))
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what is learned: documents and words of each language."""
+    """How many distinct documents of each language are learned from, and the sizes of n-grams."""
 
-    documents: int = 2000
-    words: int = 20000
+    documents: int = 1000
     sizes: tuple[int, ...] = (4, 3, 2, 1)
 
 
 def letters(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_SPLIT).split()
+    """Lower-cased words in UTF-8; marks without a letter are none."""
+    low = text.lower()
+    if low.isascii():
+        return low.encode().translate(_ASCII).split()
+    return [w.encode("utf-8", "replace") for w in _WORD.findall(low) if w.isalpha() or _LETTER.search(w)]
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -90,7 +99,7 @@ class Model:
         if not text or not self.names:
             return "und", 0.0
         words = letters(text)
-        if not words or not any(c.isalpha() for c in text):
+        if not words:
             return "und", 0.0
         total = np.zeros(len(self.names))
         counts = Counter(words)
@@ -119,14 +128,19 @@ class Model:
 def fit(docs: DataFrame, train: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """``train``: the rows of ``docs`` to learn from, with non-null text and label.
 
-    Each language gives about ``limits.documents`` rows, picked by a hash of
-    the id; its most frequent ``limits.words`` words are kept.
+    Each language gives at most ``limits.documents`` distinct texts, picked by a hash of
+    id and text; all their words are kept.
     """
     have = {r[0]: r[1] for r in train.groupBy(lang_col).count().collect()}
     if not have:
         return Model({}, limits.sizes)
-    share = F.create_map(*(F.lit(x) for name, n in have.items() for x in (name, min(1.0, limits.documents / n))))
-    picked = train.where((F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)) < share[F.col(lang_col)])
+    # about twice as many rows as wanted by a hash, equal texts taken once, then exactly as many as wanted
+    share = F.create_map(*(F.lit(x) for name, n in have.items() for x in (name, min(1.0, 2.0 * limits.documents / n))))
+    slim = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    drawn = slim.where((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
+    once = drawn.groupBy("lang", "text").agg(F.min("h").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    picked = materialize(once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limits.documents).select("lang", "text"), "sample")
     out = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
@@ -138,12 +152,10 @@ def fit(docs: DataFrame, train: DataFrame, limits: Limits = Limits(), lang_col:
         for i in range(0, len(rows), 50_000):
             yield table_batch(out, *zip(*rows[i : i + 50_000], strict=True))
 
-    part = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, word binary, n long")
-    total = part.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= limits.words)
+    table = picked.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[bytes, int]] = {name: {} for name in have}
-    for r in top.select("lang", "word", "n").collect():
-        counts[r.lang][bytes(r.word)] = r.n
+    for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts[lang][word] = n
     return Model(counts, limits.sizes)
 
 
