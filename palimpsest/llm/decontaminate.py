@@ -8,13 +8,16 @@ only; the length bound drops proposals that overhang the document, and the
 words are then compared.
 
 The benchmark is the stated query set.  Its index is built in blocks of at most
-``block_words`` words, so what is broadcast is bounded however long the
-benchmark; each block makes one pass over the documents and a document's
-blocks are merged by a row key.
+``block_words`` words, one block at a time: a block is sent out, all documents are read
+against it, what was hit is written, and the block is dropped before the next is built.  So
+what is broadcast and held is bounded however long the benchmark or one item of it.  With
+several blocks a document's hits meet on its text's digest; texts do not move.
 
 Defined results: null or wordless text has no words, hits or items; a null item
-id is written as the empty string; repeated items count once per id; repeated
-documents are judged one by one; an empty benchmark hits nothing.
+id is written as the empty string and counts as an item; repeated items count once per id;
+repeated documents are judged one by one; an empty benchmark hits nothing; texts are read
+whole, however long; an empty table gives an empty result; other columns are carried or left
+out, never read, and may have any names.
 
 A scan calls a document contaminated if ``least_items`` items have windows in it.
 Cleaning also drops a document in which one window of at least ``lone_words`` words
@@ -26,14 +29,16 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import document_frequency, map_batches, plain_words, share, table_batch
+from palimpsest.llm.common import document_frequency, map_batches, materialize, plain_words, share, table_batch
 
 WIDTH, BLOCK_WORDS = 8, 1_000_000
 
@@ -56,7 +61,7 @@ class Index:
                 owners[window].add(item)
         self.by_word: dict[bytes, list[tuple[int, tuple[bytes, ...], tuple[str, ...]]]] = defaultdict(list)
         for window, ids in owners.items():
-            offset = min(range(len(window)), key=lambda k: (rarity.get((window[k], 1), 0), window[k], k))
+            offset = min(range(len(window)), key=lambda k: (rarity.get(window[k], 0), window[k], k))
             self.by_word[window[offset]].append((offset, window, tuple(sorted(ids))))
         self.by_word = dict(self.by_word)
 
@@ -84,26 +89,30 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, width: int, block_words: int) -> list:
-    """A broadcast index for each block of items; rarity comes from all documents."""
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("binary")).toLocalIterator()
-    out, block, size = [], [], 0
-
-    def close():
-        vocabulary = {w for _, words in block for w in words}
-        rarity = document_frequency(docs, text_col, vocabulary)
-        out.append(share(docs.sparkSession, Index(block, rarity, width)))
+def blocks(benchmark: DataFrame, item_col: str, item_text: str, width: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Blocks of (item, words) of at most ``block_words`` words, or of one piece.
 
+    An item longer than a block is cut into pieces that overlap by ``width`` - 1 words, so
+    that every window is whole in one of them.  One partition is on the driver at a time.
+    """
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("binary")).toLocalIterator()
+    block, size, most, out = [], 0, max(block_words, width), False
     for item, text in rows:
         words = plain_words(bytes(text or b""))
-        if size + len(words) > block_words and block:
-            close()
-            block, size = [], 0
-        block.append((item or "", words))
-        size += len(words)
+        for at in range(0, max(1, len(words) - width + 1), most):
+            piece = words[at : at + most + width - 1]
+            if block and size + len(piece) > block_words:
+                yield block
+                block, size, out = [], 0, True
+            block.append((item or "", piece))
+            size += len(piece)
     if block or not out:
-        close()
-    return out
+        yield block
+
+
+def _index(docs: DataFrame, block: list, text_col: str, width: int) -> Index:
+    """The index of a block; rarity comes from all documents."""
+    return Index(block, document_frequency(docs, text_col, {w for _, words in block for w in words}), width)
 
 
 def leaked(items: Iterable[str], longest: int, least: int, lone: int | None) -> bool:
@@ -148,11 +157,13 @@ def scan(
     lone_words: int | None = None,
 ) -> DataFrame:
     """One row per document: hit words, occurring items and the verdict."""
-    blocks = indexes(docs, benchmark, text_col, item_col, item_text, width, block_words)
     kind = docs.schema[id_col].dataType.simpleString()
-    if len(blocks) == 1:
+    whole = blocks(benchmark, item_col, item_text, width, block_words)
+    first, second = next(whole), next(whole, None)
+    if second is None:
+        index = share(docs.sparkSession, _index(docs, first, text_col, width))
 
-        def make(index=blocks[0]):
+        def make():
             found = index()
 
             def step(batch):
@@ -166,48 +177,57 @@ def scan(
 
         slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
         return map_batches(slim, make, f"doc_id {kind}, {SCHEMA}")
-    # several blocks: a document's hits are a function of its text, so blocks meet on the text's digest
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    slim = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
-    part = pa.schema([("key", pa.string()), ("n", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+    found = _together(docs, chain([first, second], whole), text_col, width)
 
-    def make_part(index):
-        def make():
-            found = index()
+    def make_last():
+        def step(batch):
+            rows = zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)
+            out = [digest(n, merge(zip((s or [])[::2], (s or [])[1::2], strict=True)), ids or [], longest or 0, least_items, lone_words) for n, s, ids, longest in rows]
+            return table_batch(pa.schema([batch.schema.field(0), *OUT]), batch.column(0), *zip(*out, strict=True))
 
-            def step(batch):
-                out = []
-                for text in batch.column(1).to_pylist():
-                    words = plain_words(text or b"")
-                    spans, ids, longest = found.hits(words)
-                    out.append((len(words), [x for s in spans for x in s], sorted(ids), longest))
-                return table_batch(part, batch.column(0), *zip(*out, strict=True))
+        return step
 
-            return step
+    # the same words as plain_words, with A-Z beside a-z
+    n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), _key(text_col).alias("digest")).join(found, F.col("digest") == F.col("key"), "left")
+    return map_batches(rows.select("doc_id", "n", "spans", "items", "longest"), make_last, f"doc_id {kind}, {SCHEMA}")
 
-        return make
 
-    passes = [map_batches(slim, make_part(b), "key string, n long, spans array<long>, items array<string>, longest long") for b in blocks]
-    rows = reduce(DataFrame.unionByName, [p.withColumn("block", F.lit(i)) for i, p in enumerate(passes)])
-    # copies of a text give equal rows: one for each text and block
-    once = rows.groupBy("key", "block").agg(F.first("n").alias("n"), F.first("spans").alias("spans"), F.first("items").alias("items"), F.first("longest").alias("longest"))
-    together = once.groupBy("key").agg(
-        F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"),
-    )
+def _key(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
-    def make_last():
-        def step(batch):
-            out = [
-                digest(n, merge(zip(s[::2], s[1::2], strict=True)), ids, longest, least_items, lone_words)
-                for n, s, ids, longest in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True)
-            ]
-            return table_batch(pa.schema([batch.schema.field(0), *OUT]), batch.column(0), *zip(*out, strict=True))
 
-        return step
+_PART = pa.schema([("key", pa.string()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+
 
-    done = map_batches(together, make_last, f"key string, {SCHEMA}")
-    return docs.select(F.col(id_col).alias("doc_id"), key.alias("key")).join(done, "key").drop("key")
+def _together(docs: DataFrame, whole: Iterable[list], text_col: str, width: int) -> DataFrame:
+    """key, spans, items, longest of the texts that any block hits; blocks are run in turn."""
+    slim = docs.select(_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    parts = []
+    for block in whole:
+        sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(_index(docs, block, text_col, width)))
+
+        def make(sent=sent):
+            found = cloudpickle.loads(sent.value)
+
+            def step(batch):
+                out = []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    spans, ids, longest = found.hits(plain_words(text or b""))
+                    if spans:
+                        out.append((key, [x for s in spans for x in s], sorted(ids), longest))
+                return table_batch(_PART, *(zip(*out, strict=True) if out else ([], [], [], [])))
+
+            return step
+
+        hit = map_batches(slim, make, "key string, spans array<long>, items array<string>, longest long")
+        # copies of a text give equal rows: one for each text and block
+        once = hit.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.first("longest").alias("longest"))
+        parts.append(materialize(once, "hits"))
+        sent.unpersist()
+    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest")
+    )
 
 
 def clean(
@@ -215,11 +235,12 @@ def clean(
     width: int = WIDTH, least_items: int = 2, block_words: int = BLOCK_WORDS, lone_words: int | None = WIDTH,
 ) -> DataFrame:
     """The documents without a leak, with all their columns."""
-    blocks = indexes(docs, benchmark, text_col, item_col, item_text, width, block_words)
-    at = docs.columns.index(text_col)
-    if len(blocks) == 1:
+    whole = blocks(benchmark, item_col, item_text, width, block_words)
+    first, second = next(whole), next(whole, None)
+    if second is None:
+        index, at = share(docs.sparkSession, _index(docs, first, text_col, width)), docs.columns.index(text_col)
 
-        def make(index=blocks[0]):
+        def make():
             found = index()
 
             def step(batch):
@@ -230,17 +251,20 @@ def clean(
             return step
 
         return map_batches(docs, make, docs.schema)
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    bad = scan(keyed, benchmark, "_key", "_text", item_col, item_text, width, least_items, block_words, lone_words).where("contaminated")
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), key == F.col("_bad"), "left_anti")
+    found = _together(docs, chain([first, second], whole), text_col, width)
+    enough = F.size("items") >= least_items
+    bad = found.where(enough if lone_words is None else enough | (F.col("longest") >= lone_words)).select("key")
+    # the documents ride in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _key(text_col).alias("digest"))
+    kept = rows.join(bad, F.col("digest") == F.col("key"), "left_anti")
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
 with d as (select doc_id, {_WORDS} as w from documents),
-i as (select cast(item_id as varchar) as item, w, least({WIDTH}, len(w)) as size from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
+i as (select coalesce(cast(item_id as varchar), '') as item, w, least({WIDTH}, len(w)) as size from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
 g as (select distinct item, size, array_to_string(w[k:k + size - 1], ' ') as words from (select *, unnest(range(1, len(w) - size + 2)) as k from i)),
 p as (select doc_id, w, unnest(range(1, len(w) + 1)) as k from d),
 z as (select distinct size from g),
