@@ -5,8 +5,9 @@ incompressible text.  The limits depend on the text's length, as a short text
 has no room to compress.
 
 Defined results: null text counts as empty; an empty text has zero counts and
-fails the base rule; repeated rows are judged one by one; columns beside the
-text are carried or left out but never read.
+fails the base rule; repeated rows are judged one by one; a ratio equal to a limit
+passes; texts are read whole, however long; an empty table gives an empty result; columns
+beside the text are carried or left out but never read, and may have any names.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Operators with exact contracts against plain versions, with awkward rows."""
 
 import random
+import time
 
 import brute
 import pytest
@@ -197,7 +198,7 @@ def test_tree_search_is_exact():
 def test_decontamination(spark, sf, docs, texts, block_words):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bench += [(501, "Under the MIT!"), (501, "one two three"), (502, "ONE two-three"), (503, None), (504, "")]
-    bench += [(505, "c d e f g h a b c")]
+    bench += [(505, "c d e f g h a b c"), (None, "one two three"), (506, " ".join(f"w{k}" for k in range(300)))]
     items = spark.createDataFrame(bench, "item_id long, text string")
     got = decontaminate.scan(docs, items, block_words=block_words).collect()
     same(
@@ -208,6 +209,8 @@ def test_decontamination(spark, sf, docs, texts, block_words):
     assert cleaned.columns == docs.columns
     kept = sorted((d, t or "") for d, t in texts if not brute.leaked(t, bench) and d is not None)
     assert sorted((r.doc_id, r.text or "") for r in cleaned.where("doc_id is not null").collect()) == kept
+    inside = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 8))) for k in range(293)], "doc_id long, text string")
+    assert {(r.n_hit, r.n_items) for r in decontaminate.scan(inside, items, block_words=block_words).collect()} == {(8, 1)}  # a long item is cut without losing a window
     alone = spark.createDataFrame([(1, " ".join(bench[0][1].split()[:9])), (2, "under the mit"), (3, "under the mit, one two three")], "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.clean(alone, items, block_words=block_words).collect()] == [2]
 
@@ -241,6 +244,19 @@ def test_license_notices_together(spark):
     assert got == {1: "bsd,gpl-3", 2: "bsd,gpl-3,mit", 3: ""} | {k: "gpl-3" for k in range(4, 12)}
 
 
+def test_license_headers(spark):
+    """Common headers and whole clauses, and many places of one key phrase in linear time."""
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    cc = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    rows = [(1, header.format("", "3")), (2, header.format("", "2")), (3, header.format("Lesser ", "3")), (4, header.format("Affero ", "3")), (5, bsd), (6, apache), (7, cc), (8, "mit license " * 40_000)]
+    began = time.time()
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "gpl-3", 2: "gpl-2", 3: "lgpl-3", 4: "agpl-3", 5: "bsd,bsd-3", 6: "apache-2", 7: "cc-by-nc", 8: ""}
+    assert time.time() - began < 30
+
+
 def test_license_alignments_random():
     """Places and agreement against a plain search over every alignment."""
     rng = random.Random(11)
