@@ -37,6 +37,14 @@ LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
 PAIRS = "list_distinct([p[1] || p[2] for p in list_zip(regexp_extract_all({0}, '(?s).'), regexp_extract_all({0}, '(?s).')[2:], true)])"
 
 
+# the predicates of noise, as SQL over a column {c}
+TRANSIENT = r"""(strlen({c}) < 3 or starts_with({c}, '出错了') or starts_with({c}, '抱歉') or starts_with({c}, '⏳') or starts_with({c}, 'ERROR')
+      or starts_with({c}, 'Error:') or starts_with({c}, '[Error')
+      or regexp_matches({c}, '(?i)(?:HTTP|status|code|error)\s*[:= ]?\s*\b(429|500|502|503|504)\b|rate.?limit|empty.?response|timed?\s*out|connection.?refused')
+      or (strlen({c}) <= 200 and (regexp_full_match({c}, '(你好|你是谁|谢谢|好的|嗯|哦|再见|拜拜|是的|不是|对|没有|你叫什么|你能做什么|你会什么|你叫什么名字|今日.*天气)[啊呀呢吗也呗\s，？?!.]*')
+       or regexp_full_match({c}, '(?i)(hi|hello|hey|ok|okay|thanks|thank\s+you|sure|got\s+it|yes|no|bye|goodbye|see\s+you|alright|fine|cool|great|nice|wow|lol|haha|hmm|um|uh)[\s!.?]*'))))"""
+
+
 def _ctes(*names: str) -> str:
     """with-clause of the shared tables named."""
     known = {
@@ -45,7 +53,7 @@ def _ctes(*names: str) -> str:
         "links": f"select distinct * from ({fx.duck('links')})",
         "ev": fx.duck("ev"),
         "said": fx.duck_statements(),
-        "q": "select memory_id - 1 as query_id, agent_id, user_id, substring(content, 1, 40) as text, embedding from m where memory_id <= 50",
+        "q": "select memory_id as query_id, agent_id, user_id, content as text, embedding from m where memory_id % 20 = 0",
         "mirrored": """select * from stream union all select to_id, from_id, type, weight, created_at, seq from stream
           where type in ('Related', 'SameSession', 'Temporal', 'Entity')""",
         "edges": """select from_id, to_id, type, weight, created_at from (select *, row_number() over
@@ -141,7 +149,7 @@ def recall_suppress_superseded(spark, sf):
 
 
 SUPERSEDED = f""", newer as (select distinct from_id, to_id from edges where type = 'Supersedes'),
-  up(origin, node, depth) as (select distinct from_id, from_id, 0 from newer union select u.origin, o.from_id, u.depth + 1 from up u join newer o on o.to_id = u.node where u.depth < 64),
+  up(origin, node, depth) as (select distinct from_id, from_id, 0 from newer union select u.origin, o.from_id, u.depth + 1 from up u join newer o on o.to_id = u.node),
   tops as (select origin, arg_max(created_at, depth * 100000 + node) as top_at from up join m on m.memory_id = up.node and m.{ALIVE} group by 1),
   down(node, top_at) as (select o.to_id, t.top_at from newer o join tops t on t.origin = o.from_id union select o.to_id, d.top_at from down d join newer o on o.from_id = d.node),
   replaced as (select node as memory_id, max(top_at) as superseded_at from down group by 1)"""
@@ -200,13 +208,13 @@ def recall_full(spark, sf):
 LISTS = """select doc_id % 20 as query_id, doc_id as memory_id, doc_id * 10 as created_at, case doc_id % 4
   when 0 then concat('done: TKT', lpad(cast(doc_id % 50 as string), 3, '0'), ' and TKT', lpad(cast(doc_id % 37 as string), 3, '0'), ' closed')
   when 1 then concat('工单TKT', lpad(cast(doc_id % 41 as string), 3, '0'), '已执行') when 2 then concat('列表 A-', cast(1000 + doc_id % 7 as string))
-  else substring(text, 1, 60) end as content from {documents}"""
+  else 'no ids here' end as line, text from {documents} where text is not null"""
 
 
 @query(
-    "with r as ("
+    "with r as (select query_id, memory_id, created_at, concat(line, chr(10), text) as content from ("
     + LISTS.format(documents="documents")
-    + r"""), f as (select *, list_distinct(regexp_extract_all(content, '\b(?:[A-Z]{2,5}\d{3,6}|[A-Z]{1,5}-\d{3,6})\b')) as p, list_distinct(regexp_extract_all(content, '\b\d{8,}\b')) as n,
+    + r""")), f as (select *, list_distinct(regexp_extract_all(content, '\b(?:[A-Z]{2,5}\d{3,6}|[A-Z]{1,5}-\d{3,6})\b')) as p, list_distinct(regexp_extract_all(content, '\b\d{8,}\b')) as n,
        (contains(content, '|---') or contains(content, chr(10) || '- ') or contains(content, chr(10) || '* ') or contains(content, chr(10) || '1.')
         or contains(content, '以下') or contains(content, '列表') or contains(content, '清单') or contains(content, '汇总') or contains(content, '包括') or contains(content, '包含')) as l from r),
      a as (select * from f where greatest(len(p), len(n)) >= 2 or (l and greatest(len(p), len(n)) >= 1))
@@ -214,7 +222,8 @@ LISTS = """select doc_id % 20 as query_id, doc_id as memory_id, doc_id * 10 as c
       where (len(a.p) > 0 and len([x for x in o.p if not list_contains(a.p, x)]) > 0) or (len(a.n) > 0 and len([x for x in o.n if not list_contains(a.n, x)]) > 0)"""
 )
 def staleness_filter(spark, sf):
-    return recall.stale_aggregates(spark.sql(LISTS, documents=fx.table(spark, sf, "documents")))
+    rows = spark.sql(LISTS, documents=fx.table(spark, sf, "documents"))
+    return recall.stale_aggregates(rows.select("query_id", "memory_id", "created_at", F.concat("line", F.lit("\n"), "text").alias("content")))
 
 
 @query(_ctes("m") + " select memory_id from m where memory_id % 3 = 1 and memory_id % 13 = 0")
@@ -256,14 +265,10 @@ def bigram_overlap(spark, sf):
 
 @query(
     _ctes("said")
-    + r""" select id, strlen(content) < 3 or starts_with(content, '出错了') or starts_with(content, '抱歉') or starts_with(content, '⏳') or starts_with(content, 'ERROR')
-      or starts_with(content, 'Error:') or starts_with(content, '[Error')
-      or regexp_matches(content, '(?i)(?:HTTP|status|code|error)\s*[:= ]?\s*\b(429|500|502|503|504)\b|rate.?limit|empty.?response|timed?\s*out|connection.?refused')
-      or (strlen(content) <= 200 and (regexp_full_match(content, '(你好|你是谁|谢谢|好的|嗯|哦|再见|拜拜|是的|不是|对|没有|你叫什么|你能做什么|你会什么|你叫什么名字|今日.*天气)[啊呀呢吗也呗\s，？?!.]*')
-       or regexp_full_match(content, '(?i)(hi|hello|hey|ok|okay|thanks|thank\s+you|sure|got\s+it|yes|no|bye|goodbye|see\s+you|alright|fine|cool|great|nice|wow|lol|haha|hmm|um|uh)[\s!.?]*'))) as transient from said"""
+    + f" select id, {TRANSIENT.replace('{c}', 'content')} as transient from said"
 )
 def transient_filter(spark, sf):
-    return fx.statements(spark).select("id", text.is_transient(F.col("content")).alias("transient"))
+    return fx.statements(spark, sf).select("id", text.is_transient(F.col("content")).alias("transient"))
 
 
 @query(
@@ -275,7 +280,7 @@ def transient_filter(spark, sf):
 )
 def forget_request(spark, sf):
     content = F.col("content")
-    return fx.statements(spark).select("id", text.is_forget_request(content).alias("forget"), text.has_secrecy_marker(content).alias("secret"))
+    return fx.statements(spark, sf).select("id", text.is_forget_request(content).alias("forget"), text.has_secrecy_marker(content).alias("secret"))
 
 
 @query(
@@ -284,20 +289,19 @@ def forget_request(spark, sf):
       when regexp_matches(content, '(?i)\b(always|usually|every\s+time|repeatedly|often|habit|pattern|\d+\s*times)\b') then 'Behavioral' else 'Inference' end as tier from said"""
 )
 def source_tier(spark, sf):
-    return fx.statements(spark).select("id", text.source_tier(F.col("content"), F.lit("Inference")).alias("tier"))
+    return fx.statements(spark, sf).select("id", text.source_tier(F.col("content"), F.lit("Inference")).alias("tier"))
 
 
 @query(
     _ctes("said")
-    + r""" select id, array_to_string(list_distinct(regexp_extract_all(content, '\b(?:[A-Z]{2,5}\d{3,6}|[A-Z]{1,5}-\d{3,6})\b')), ',') as ids,
-      array_to_string(list_distinct(regexp_extract_all(content, '\b\d{8,}\b')), ',') as numbers,
-      regexp_matches(content, '旧|之前|以前|原来|过去|历史|曾经|earlier|previous|old|former|past') and not regexp_matches(content, '但|不过|现在|如今|已经|now|but|however|currently') as old from said
-      where len(list_distinct(regexp_extract_all(content, '\b(?:[A-Z]{2,5}\d{3,6}|[A-Z]{1,5}-\d{3,6})\b'))) < 2"""
+    + r""" select id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\b(?:[A-Z]{2,5}\d{3,6}|[A-Z]{1,5}-\d{3,6})\b'))), ',') as ids,
+      array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\b\d{8,}\b'))), ',') as numbers,
+      regexp_matches(content, '旧|之前|以前|原来|过去|历史|曾经|earlier|previous|old|former|past') and not regexp_matches(content, '但|不过|现在|如今|已经|now|but|however|currently') as old from said"""
 )
 def entity_markers(spark, sf):
     content = F.col("content")
-    rows = fx.statements(spark).where(F.size(text.prefixed_ids(content)) < 2)
-    return rows.select("id", F.array_join(text.prefixed_ids(content), ",").alias("ids"), F.array_join(text.long_numbers(content), ",").alias("numbers"), text.has_old_marker(content).alias("old"))
+    line = lambda ids: F.array_join(F.array_sort(ids), ",")
+    return fx.statements(spark, sf).select("id", line(text.prefixed_ids(content)).alias("ids"), line(text.long_numbers(content)).alias("numbers"), text.has_old_marker(content).alias("old"))
 
 
 @query("select doc_id, case when strlen(text) <= 80 then text else list_max([substring(text, 1, i::int) for i in range(1, 82) if strlen(substring(text, 1, i::int)) <= 80]) || '…' end as preview from documents")
@@ -307,40 +311,40 @@ def content_preview(spark, sf):
 
 # ---- capture
 
-GATE = scores.GateConfig(duplicate=0.30, low_value=0.75, deferred=0.85)
+GATE = scores.GateConfig(duplicate=0.30, low_value=0.75, deferred=0.85, shadow=False)
 _MAXSIM = f"""select c.memory_id as query_id, max(round(list_cosine_similarity(c.embedding::double[], s.embedding::double[]), 6)) as sim
-  from m c join m s on s.agent_id = c.agent_id and s.{ALIVE} and s.memory_id <= 400 where c.memory_id between 401 and 500 group by 1"""
+  from m c join m s on s.agent_id = c.agent_id and s.{ALIVE} and s.memory_id % 20 <> 0 where c.memory_id % 20 = 0 group by 1"""
 _VALUE = "round(least(greatest(1 - greatest(sim, 0) + {bonus} + 0.1 * importance, 0), 1), 6)"
 
 
 def _facts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fresh = rows.where("memory_id between 401 and 500").withColumnRenamed("memory_id", "query_id")
-    return fresh, rows.where("memory_id <= 400")
+    """Rows whose id is divisible by 20 as new facts, all others as the store."""
+    fresh = rows.where("memory_id % 20 = 0").withColumnRenamed("memory_id", "query_id")
+    return fresh, rows.where("memory_id % 20 <> 0")
 
 
 @query(
     _ctes("m")
-    + f""", b as ({_MAXSIM}), v as (select query_id, sim, content, source_tier, sim >= 0.30 as dup,
-       case when sim >= 0.30 then 0 else {_VALUE.format(bonus="case source_tier when 'Behavioral' then 0.1 when 'Assertion' then 0.05 else 0 end")} end as marginal_value
+    + f""", b as ({_MAXSIM}), v as (select query_id, sim, {TRANSIENT.replace("{c}", "content")} as noise, sim >= 0.30 as dup,
+       case when sim >= 0.30 or {TRANSIENT.replace("{c}", "content")} then 0 else {_VALUE.format(bonus="case source_tier when 'Behavioral' then 0.1 when 'Assertion' then 0.05 else 0 end")} end as marginal_value
        from b join m on m.memory_id = b.query_id)
-      select query_id, marginal_value, case when dup or marginal_value < 0.75 then 'Rejected' when marginal_value < 0.85 then 'Deferred' else 'Accepted' end as decision from v where strlen(content) > 200"""
+      select query_id, marginal_value, case when noise or dup or marginal_value < 0.75 then 'Rejected' when marginal_value < 0.85 then 'Deferred' else 'Accepted' end as decision from v"""
 )
 def write_gate(spark, sf):
     fresh, stored = _facts(fx.memories(spark, sf))
-    long = fresh.where(F.octet_length("content") > 200)
-    return capture.gate(long, stored, GATE).select("query_id", "marginal_value", "decision")
+    return capture.gate(fresh, stored, GATE).select("query_id", "marginal_value", "decision")
 
 
 @query(
     _ctes("m")
-    + f""", b as ({_MAXSIM}), v as (select query_id, sim, importance, content, agent_id, case when sim >= 0.30 then 0 else {_VALUE.format(bonus="0")} end as marginal_value from b join m on m.memory_id = b.query_id)
+    + f""", b as ({_MAXSIM}), v as (select query_id, sim, case when sim >= 0.30 then 0 else {_VALUE.format(bonus="0")} end as marginal_value from b join m on m.memory_id = b.query_id
+       where not {TRANSIENT.replace("{c}", "content")})
       select query_id as memory_id, query_id - 1 as parent_id, case when sim >= 0.30 or marginal_value < 0.85 then 'Deferred' else 'Accepted' end as gate_decision,
-       case when sim >= 0.30 or marginal_value < 0.85 then 'Stale' else 'Inferred' end as confidence_level, marginal_value, 'Derived' as layer from v where strlen(content) > 200"""
+       case when sim >= 0.30 or marginal_value < 0.85 then 'Stale' else 'Inferred' end as confidence_level, marginal_value, 'Derived' as layer from v"""
 )
 def derive_facts(spark, sf):
     fresh, stored = _facts(fx.memories(spark, sf))
-    long = fresh.where(F.octet_length("content") > 200).withColumn("raw_id", F.col("query_id") - 1)
-    return capture.derive(long, stored, NOW, GATE)[0].select("memory_id", "parent_id", "gate_decision", "confidence_level", "marginal_value", "layer")
+    return capture.derive(fresh.withColumn("raw_id", F.col("query_id") - 1), stored, NOW, GATE)[0].select("memory_id", "parent_id", "gate_decision", "confidence_level", "marginal_value", "layer")
 
 
 RECONCILE = capture.ReconcileConfig(floor=0.25, reinforce=0.40)
@@ -363,7 +367,7 @@ def reconcile_apply(spark, sf):
     rows = fx.memories(spark, sf)
     fresh, stored = _facts(rows)
     edges = graph.upserted(fx.edge_stream(spark, sf))
-    after, _ = capture.apply(rows.where("memory_id <= 500"), edges, capture.decide(fresh, stored, RECONCILE))
+    after, _ = capture.apply(rows, edges, capture.decide(fresh, stored, RECONCILE))
     return after.select("memory_id", "phase", F.round("importance", 6).alias("importance"))
 
 

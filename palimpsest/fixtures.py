@@ -10,44 +10,50 @@ from pyspark.sql import functions as F
 
 NOW = 1706745600
 
+# One memory for each id that either table has; the ids of both run from 0 without gaps, and the
+# smaller table is gone round, so that every text and every vector is in the store.
+IDS = """(select i, i % (select count(*) from {documents}) as doc, i % (select count(*) from {embeddings}) as vec,
+ (select count(*) from (select doc_id from {documents} union select vec_id from {embeddings}) a) as n
+ from (select doc_id as i from {documents} union select vec_id as i from {embeddings}) b)"""
+
 MEMORIES = """
-select e.vec_id + 1 as memory_id,
- concat('user-', cast(e.vec_id % 7 as string)) as user_id,
+select x.i + 1 as memory_id,
+ concat('user-', cast(x.i % 7 as string)) as user_id,
  concat('agent-', cast(e.label % 4 as string)) as agent_id,
- case when e.vec_id % 5 = 0 then 'agent_shared' else 'private' end as scope,
- case e.vec_id % 6 when 0 then 'user_profile' when 1 then 'feedback' when 2 then 'domain_knowledge'
+ case when x.i % 5 = 0 then 'agent_shared' else 'private' end as scope,
+ case x.i % 6 when 0 then 'user_profile' when 1 then 'feedback' when 2 then 'domain_knowledge'
                    when 3 then 'reference' when 4 then 'skill' else 'ephemeral' end as memory_type,
- case when e.vec_id % 10 < 5 then 'working' when e.vec_id % 10 < 8 then 'short_term' else 'long_term' end as tier,
- case when e.vec_id % 23 = 0 then 'Tombstone' when e.vec_id % 19 = 0 then 'Archived'
-      when e.vec_id % 17 = 0 then 'Versioned' when e.vec_id % 29 = 0 then 'Invalidated' else 'Active' end as phase,
- case when e.vec_id % 11 = 0 then 'Verified' when e.vec_id % 13 = 0 then 'Conflicted'
-      when e.vec_id % 7 = 0 then 'Stale' else 'Inferred' end as confidence_level,
- case e.vec_id % 3 when 0 then 'Assertion' when 1 then 'Behavioral' else 'Inference' end as source_tier,
- case when e.vec_id % 3 = 2 then 'Derived' else 'Raw' end as layer,
- cast((e.vec_id * 37) % 101 as double) / cast(100 as double) as importance,
- cast((e.vec_id * 13) % 17 as bigint) as access_count,
- cast(case when e.vec_id % 3 = 2 then e.vec_id else 0 end as bigint) as parent_id,
- 1704067200 + e.vec_id * 3600 as created_at,
- 1704067200 + e.vec_id * 3600 + ((e.vec_id * 7919) % 500) * 60 as last_accessed,
+ case when x.i % 10 < 5 then 'working' when x.i % 10 < 8 then 'short_term' else 'long_term' end as tier,
+ case when x.i % 23 = 0 then 'Tombstone' when x.i % 19 = 0 then 'Archived'
+      when x.i % 17 = 0 then 'Versioned' when x.i % 29 = 0 then 'Invalidated' else 'Active' end as phase,
+ case when x.i % 11 = 0 then 'Verified' when x.i % 13 = 0 then 'Conflicted'
+      when x.i % 7 = 0 then 'Stale' else 'Inferred' end as confidence_level,
+ case x.i % 3 when 0 then 'Assertion' when 1 then 'Behavioral' else 'Inference' end as source_tier,
+ case when x.i % 3 = 2 then 'Derived' else 'Raw' end as layer,
+ cast((x.i * 37) % 101 as double) / cast(100 as double) as importance,
+ cast((x.i * 13) % 17 as bigint) as access_count,
+ cast(case when x.i % 3 = 2 then x.i else 0 end as bigint) as parent_id,
+ 1704067200 + x.i * 3600 as created_at,
+ 1704067200 + x.i * 3600 + ((x.i * 7919) % 500) * 60 as last_accessed,
  d.text as content, e.embedding as embedding
-from {embeddings} e join {documents} d on d.doc_id = e.vec_id % 200
+from {ids} x join {documents} d on d.doc_id = x.doc join {embeddings} e on e.vec_id = x.vec
 """
 
 EDGE_STREAM = """
-select vec_id + 1 as from_id, (vec_id * 7 + 3) % 500 + 1 as to_id,
- case vec_id % 7 when 0 then 'Related' when 1 then 'SameSession' when 2 then 'ConflictsWith' when 3 then 'DerivedFrom'
-                 when 4 then 'Entity' when 5 then 'Contradicts' else 'Temporal' end as type,
- cast(vec_id % 10 as double) / cast(10 as double) as weight, 1704067200 + vec_id * 3600 as created_at, vec_id as seq
-from {embeddings} where vec_id < 500 and (vec_id * 7 + 3) % 500 <> vec_id
+select i + 1 as from_id, (i * 7 + 3) % n + 1 as to_id,
+ case i % 7 when 0 then 'Related' when 1 then 'SameSession' when 2 then 'ConflictsWith' when 3 then 'DerivedFrom'
+            when 4 then 'Entity' when 5 then 'Contradicts' else 'Temporal' end as type,
+ cast(i % 10 as double) / cast(10 as double) as weight, 1704067200 + i * 3600 as created_at, i as seq
+from {ids} x where (i * 7 + 3) % n <> i
 union all
-select vec_id + 1, vec_id - 3, 'Supersedes', cast(1 as double), 1704067200 + vec_id * 3600, vec_id + 1000
-from {embeddings} where vec_id < 500 and vec_id >= 4 and vec_id % 4 = 0 and vec_id % 24 <> 0
+select i + 1, i - 3, 'Supersedes', cast(1 as double), 1704067200 + i * 3600, i + n
+from {ids} x where i >= 4 and i % 4 = 0 and i % 24 <> 0
 """
 
 LINKS = """
-select vec_id + 1 as child_id, vec_id as parent_id from {embeddings} where vec_id % 3 = 2
-union all select vec_id + 1, vec_id - 1 from {embeddings} where vec_id % 6 = 5
-union all select vec_id + 1, vec_id - 8 from {embeddings} where vec_id % 9 = 8 and vec_id >= 17
+select i + 1 as child_id, i as parent_id from {ids} x where i % 3 = 2
+union all select i + 1, i - 1 from {ids} x where i % 6 = 5
+union all select i + 1, i - 8 from {ids} x where i % 9 = 8 and i >= 17
 """
 
 EVENTS = """
@@ -60,35 +66,45 @@ select event_id, cast(floor(event_id / 5) as bigint) as trace_id, user_id + 1 as
 SPARK_MS = "unix_timestamp(ts) * 1000"
 DUCK_MS = "cast(floor(epoch(ts)) as bigint) * 1000"
 
-# Texts for the text predicates: those the tables do not have.
+# Lines for the text predicates, beside the tables' texts: those the tables do not have.
 STATEMENTS = (
-    "hi", "ok", "Thanks!", "goodbye", "sure", "yes", "no way, really", "你好", "谢谢啊", "今日上海天气", "出错了: timeout",
-    "ERROR something", "request got HTTP 429 back", "status code: 503", "we hit a rate limit", "预算500万",
-    "please forget what I told you", "delete all my data", "请忘掉我的手机号", "remove the stain", "erase about half",
-    "don't tell anyone", "this is confidential", "千万别说出去", "a private matter", "privateer ships",
-    "I prefer using React over Vue", "my name is Ann", "User always chooses dark mode every time", "ran 5 times",
-    "工单TKT099已执行成功", "TKT001 and TKT002 and A-1001", "order 12345678 shipped", "A1001 plain", "旧护照号 E73291047",
-    "old passport number", "previously old but now new", "列表: TKT001", "x", "", "é", "No", "hello there", "haha!!!", "um...",
+    "hi", "ok", "Thanks!", "goodbye", "sure", "yes", "no way, really", "你好", "谢谢啊", "今日广州天气", "出错了: 超时",
+    "ERROR in line 7", "the proxy said HTTP 429 again", "status code: 503", "they imposed a rate limit", "房租三千",
+    "please forget about my old address", "delete that data now", "请忘掉我的地址", "remove the stain", "erase about half",
+    "don't tell the neighbours", "the plan is confidential", "千万别说是我", "a private garden", "privateers at sea",
+    "I want a window seat", "my favorite colour is teal", "she usually walks to work", "it rang 7 times",
+    "单号QX417已签收", "QX417, QX418 and B-2044", "parcel 87654321 left the depot", "B2044 plain", "旧车牌 K7731",
+    "a former colleague", "earlier than planned but now fixed", "清单: QX417", "x", "", "é", "No", "hello again", "haha!!!", "um...",
 )
 
+SAID = """
+select concat('d', cast(doc_id as string)) as id, text as content from {documents} where text is not null
+union all select concat('c', cast(conv_id as string), ':', cast(turn as string)), text from {conversations} where text is not null
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    text = text.replace("{ids}", IDS)
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in ("documents", "embeddings", "conversations") if f"{{{t}}}" in text})
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(MEMORIES, embeddings=table(spark, sf_dir, "embeddings"), documents=table(spark, sf_dir, "documents"))
+    rows = _sql(spark, sf_dir, MEMORIES)
     topic = F.concat(F.lit("t"), (F.col("memory_id") % 3).cast("string"))
     secret = F.when(F.col("memory_id") % 13 == 0, "true").otherwise("false")
     return rows.withColumn("user_metadata", F.create_map(F.lit("topic"), topic, F.lit("confidential"), secret))
 
 
 def edge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(EDGE_STREAM, embeddings=table(spark, sf_dir, "embeddings"))
+    return _sql(spark, sf_dir, EDGE_STREAM)
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINKS, embeddings=table(spark, sf_dir, "embeddings")).distinct()
+    return _sql(spark, sf_dir, LINKS).distinct()
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,21 +116,23 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(rows: DataFrame) -> DataFrame:
-    """The stated query set: the first fifty memories ask."""
-    asked = rows.where("memory_id <= 50")
-    return asked.select((F.col("memory_id") - 1).alias("query_id"), "agent_id", "user_id", F.substring("content", 1, 40).alias("text"), "embedding")
+    """The stated query set: memories whose id is divisible by 20 ask with their whole content."""
+    asked = rows.where("memory_id % 20 = 0")
+    return asked.select(F.col("memory_id").alias("query_id"), "agent_id", "user_id", F.col("content").alias("text"), "embedding")
 
 
-def statements(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(STATEMENTS)), "id long, content string")
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, content: the lines above and all texts of documents and conversations."""
+    lines = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(STATEMENTS)], "id string, content string")
+    return lines.unionByName(_sql(spark, sf_dir, SAID))
 
 
 def duck(name: str) -> str:
-    texts = {"m": MEMORIES, "stream": EDGE_STREAM, "links": LINKS, "ev": EVENTS}
-    names = {"embeddings": "embeddings", "documents": "documents", "events": "events", "ms": DUCK_MS}
-    return texts[name].format(**names)
+    texts = {"m": MEMORIES, "stream": EDGE_STREAM, "links": LINKS, "ev": EVENTS, "texts": SAID}
+    names = {"embeddings": "embeddings", "documents": "documents", "conversations": "conversations", "events": "events", "ms": DUCK_MS}
+    return texts[name].replace("{ids}", IDS).format(**names)
 
 
 def duck_statements() -> str:
-    rows = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(STATEMENTS))
-    return f"select * from (values {rows}) t(id, content)"
+    rows = ", ".join("('s{}', '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(STATEMENTS))
+    return f"select * from (values {rows}) t(id, content) union all select * from ({duck('texts')})"

@@ -48,7 +48,7 @@ class GateConfig:
     low_value: float = 0.15
     deferred: float = 0.30
     neighbours: int = 5
-    shadow: bool = False
+    shadow: bool = True  # judge without turning away, until told otherwise
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:

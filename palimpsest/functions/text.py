@@ -75,8 +75,11 @@ def bigrams(text: Column) -> Column:
 
 
 def bigram_recall(query: Column, content: Column) -> Column:
-    """Share of the query's bigrams that the content has; 0 for a query without any."""
-    share = let(bigrams(query), lambda q: F.size(F.array_intersect(q, bigrams(content))) / F.greatest(F.size(q), F.lit(1)))
+    """Share of the query's bigrams that the content has; 0 for a query without any.
+
+    A text has a bigram if it contains it as a substring, so the content is not taken apart.
+    """
+    share = let(bigrams(query), lambda q: F.size(F.filter(q, lambda g: content.contains(g))) / F.greatest(F.size(q), F.lit(1)))
     return F.when(F.length(query) >= 2, share).otherwise(F.lit(0.0))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.filters import is_alive
+from palimpsest.storage import materialize
 
 DISTRIBUTIONS = ("scope", "memory_type", "phase", "confidence_level", "tier")
 
@@ -60,23 +61,35 @@ def totals_by_agent(memories: DataFrame, edges: DataFrame | None = None) -> Data
     return counts.join(drawn, "agent_id", "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("long")))
 
 
-def lowest(memories: DataFrame, share: float, order: list) -> DataFrame:
-    """The first floor(n x share) rows of ``order``, without sorting all rows on one task."""
-    n = memories.count()
-    return memories.orderBy(*order).limit(int(n * share))
+def lowest(memories: DataFrame, share: float, order: list[str]) -> DataFrame:
+    """The first floor(n x share) rows by the columns ``order``, wherever they lie.
+
+    Rows are dealt out by ranges of the order; whole ranges are kept up to the one in which
+    the share ends, and only that one is numbered.
+    """
+    dealt = materialize(memories.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())  # one row a range
+    left = int(sum(n for _, n in sizes) * share)
+    for number, n in sizes:
+        if n > left:
+            last = dealt.where(F.col("_range") == number).withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+            whole = dealt.where(F.col("_range") < number)
+            return whole.unionByName(last.where(F.col("_n") <= left).drop("_n")).drop("_range")
+        left -= n
+    return dealt.drop("_range")
 
 
 def evict_cached(memories: DataFrame, share: float = 0.2) -> DataFrame:
     """A fifth of the rows, least used first; tombstones as if never used."""
     uses = F.when(F.col("phase") == "Tombstone", 0).otherwise(F.col("access_count"))
-    return lowest(memories.withColumn("uses", uses.cast("long")), share, [F.col("uses"), F.col("memory_id")])
+    return lowest(memories.withColumn("uses", uses.cast("long")), share, ["uses", "memory_id"])
 
 
 def evict_to_cold(memories: DataFrame, capacity: int, ratio: float = 0.1) -> DataFrame:
     """The longest unused share, if there are more rows than ``capacity``."""
     if memories.count() <= capacity:
         return memories.limit(0)
-    return lowest(memories, ratio, [F.col("last_accessed"), F.col("memory_id")])
+    return lowest(memories, ratio, ["last_accessed", "memory_id"])
 
 
 def index_counts(memories: DataFrame) -> DataFrame:

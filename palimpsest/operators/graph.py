@@ -105,18 +105,20 @@ def similarity_edges(ranked: DataFrame, most: int = 10, conflict: float = 0.85,
     return rows.where("type is not null").select(F.col("query_id").alias("from_id"), F.col("memory_id").alias("to_id"), "type", F.col("similarity").alias("weight"))
 
 
-def supersession(edges: DataFrame, memories: DataFrame, max_depth: int = 64) -> DataFrame:
+def supersession(edges: DataFrame, memories: DataFrame) -> DataFrame:
     """memory_id, superseded_at: rows replaced by a later fact, with the time of the last one alive.
 
     Up from each superseder to the farthest one alive, then down over everything it
-    replaced in turn.  Where several chains reach a row, the latest time counts.
+    replaced in turn, however long the chains; a cycle ends where it meets itself.
+    Where several chains reach a row, the latest time counts.
     """
     over = of_types(edges, "Supersedes").select("from_id", "to_id").distinct()
     alive = memories.where(is_alive()).select(F.col("memory_id").alias("node"), "created_at")
     # each superseder and what stands above it, with the distance
     up = over.select(F.col("from_id").alias("origin"), F.col("from_id").alias("node"), F.lit(0).alias("depth")).distinct()
-    level = up
-    for k in range(1, max_depth + 1):
+    level, k = up, 0
+    while True:
+        k += 1
         level = materialize(
             level.join(over, F.col("node") == F.col("to_id")).select("origin", F.col("from_id").alias("node"), F.lit(k).alias("depth")).distinct().join(up, ["origin", "node"], "left_anti"),
             "level",
@@ -127,7 +129,7 @@ def supersession(edges: DataFrame, memories: DataFrame, max_depth: int = 64) ->
     top = up.join(alive, "node").groupBy("origin").agg(F.max_by("created_at", F.struct("depth", "node")).alias("superseded_at"))
     down = over.join(top, F.col("from_id") == F.col("origin")).select(F.col("to_id").alias("memory_id"), "superseded_at")
     reached = down.groupBy("memory_id").agg(F.max("superseded_at").alias("superseded_at"))
-    for _ in range(max_depth):
+    while True:
         grown = reached.unionByName(
             reached.join(over, F.col("memory_id") == F.col("from_id")).select(F.col("to_id").alias("memory_id"), "superseded_at")
         ).groupBy("memory_id").agg(F.max("superseded_at").alias("superseded_at"))

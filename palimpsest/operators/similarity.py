@@ -62,11 +62,12 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, stored: n
 _OUT = "query_id long, memory_id long, similarity double"
 
 
-def block_join(queries: DataFrame, stored: DataFrame, k: int | None = None, least: float | None = None, by: str | None = "agent_id", skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
+def block_join(queries: DataFrame, stored: DataFrame, k: int | None = None, least: float | None = None, by: str | None = "agent_id", skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES, part_rows: int = PART_ROWS, halves: bool = False) -> DataFrame:
     """Each query's rows of ``stored`` with the same ``by``: a superset of its best k.
 
     ``queries``: query_id, embedding and ``by``; ``stored``: memory_id, embedding
-    and ``by``.  Rows with a null ``by`` meet nothing.
+    and ``by``.  Rows with a null ``by`` meet nothing.  ``halves``: both sides are the same
+    rows and a pair is wanted once, so that only half of the grid is computed.
     """
     key = F.lit("") if by is None else F.col(by).cast("string")
     q = queries.select(key.alias("key"), F.col("query_id").cast("long"), "embedding").where("key is not null and embedding is not null")
@@ -104,8 +105,11 @@ def block_join(queries: DataFrame, stored: DataFrame, k: int | None = None, leas
     s, s_parts = dealt(s, "s")
     parts = q_parts.join(s_parts, "key")  # one row a key; keys on one side only meet nothing
     mine_q, mine_s = F.pmod(F.xxhash64("query_id"), "q_parts").cast("int"), F.pmod(F.xxhash64("memory_id"), "s_parts").cast("int")
-    left = q.join(parts, "key").select(F.col("key").alias("key"), mine_q.alias("qp"), F.explode(F.sequence(F.lit(0), F.col("s_parts") - 1)).alias("sp"), F.col("query_id").alias("id"), F.col("embedding").alias("vector"))
-    right = s.join(parts, "key").select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qp"), mine_s.alias("sp"), F.col("memory_id").alias("id"), F.col("embedding").alias("vector"))
+    # equal sides are dealt alike: a pair of parts meets once, the lower number as the query side
+    columns = F.sequence(mine_q if halves else F.lit(0), F.col("s_parts") - 1)
+    lines = F.sequence(F.lit(0), mine_s if halves else F.col("q_parts") - 1)
+    left = q.join(parts, "key").select(F.col("key").alias("key"), mine_q.alias("qp"), F.explode(columns).alias("sp"), F.col("query_id").alias("id"), F.col("embedding").alias("vector"))
+    right = s.join(parts, "key").select(F.col("key").alias("key"), F.explode(lines).alias("qp"), mine_s.alias("sp"), F.col("memory_id").alias("id"), F.col("embedding").alias("vector"))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -127,8 +131,9 @@ def topk_join(queries: DataFrame, stored: DataFrame, k: int, least: float | None
 def pairs_above(memories: DataFrame, least: float, by: str | None = "agent_id", **sizes) -> DataFrame:
     """a < b with similarity at least ``least`` and the same ``by``."""
     queries = memories.withColumnRenamed("memory_id", "query_id")
-    rows = block_join(queries, memories, None, least, by, True, **sizes)
-    return rows.where("query_id < memory_id").select(F.col("query_id").alias("a"), F.col("memory_id").alias("b"), "similarity")
+    rows = block_join(queries, memories, None, least, by, True, halves=True, **sizes)
+    pair = rows.select(F.least("query_id", "memory_id").alias("a"), F.greatest("query_id", "memory_id").alias("b"), "similarity")
+    return pair.distinct()  # within a part a pair is met from both ends
 
 
 def max_similarity(queries: DataFrame, stored: DataFrame, **options) -> DataFrame:

@@ -18,6 +18,7 @@ from palimpsest.functions import scores, text
 from palimpsest.operators import similarity
 from palimpsest.operators.filters import is_alive
 from palimpsest.operators.lifecycle import boosted, marked
+from palimpsest.plans.recall import containing
 from palimpsest.storage import materialize
 
 
@@ -112,7 +113,7 @@ def neighbourhood(facts: DataFrame, memories: DataFrame, config: ReconcileConfig
     """query_id, memory_id, similarity, source, place: what a fact is weighed against.
 
     First derived living rows among the nearest; if they are few, rows that share
-    bigrams, met by an equi-join on (agent, bigram); for completions also rows that
+    bigrams, looked up by the rare ones; for completions also rows that
     speak of the present, newest first.  A row counts by its first source.
     """
     derived = memories.where(is_alive() & (F.col("layer") == "Derived"))
@@ -122,13 +123,15 @@ def neighbourhood(facts: DataFrame, memories: DataFrame, config: ReconcileConfig
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= config.pool)
     near = materialize(near.select("query_id", "memory_id", "similarity", F.lit(1).alias("source"), F.col("n").cast("double").alias("key")), "near")
     few = facts.join(near.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < config.few)
-    pairs = few.select("query_id", "agent_id", F.size(text.bigrams(F.col("content"))).alias("size"), F.explode(text.bigrams(F.col("content"))).alias("pair"))
-    theirs = derived.select("memory_id", "agent_id", F.explode(text.bigrams(F.col("content"))).alias("pair"))
-    shared = pairs.join(theirs, ["agent_id", "pair"]).where("query_id <> memory_id").groupBy("query_id", "memory_id", "size").agg(F.count("*").alias("hits"))
-    words = shared.select("query_id", "memory_id", F.round(F.col("hits") / F.col("size"), 6).alias("similarity")).where(F.col("similarity") >= config.bigram)
+    wanted = few.select(F.col("query_id").alias("text_id"), "agent_id", text.bigrams(F.col("content")).alias("pairs"))
+    shared = containing(derived.select("memory_id", "agent_id", "content"), wanted, config.bigram).withColumnRenamed("text_id", "query_id").where("query_id <> memory_id")
+    words = shared.select("query_id", "memory_id", F.round(F.col("hits") / F.col("n"), 6).alias("similarity")).where(F.col("similarity") >= config.bigram)
     words = words.select("query_id", "memory_id", "similarity", F.lit(2).alias("source"), (-F.col("similarity")).alias("key"))
     done = facts.where(text.any_of(F.col("content"), text.COMPLETION_MARKERS)).select("query_id", "agent_id")
     current = derived.where(text.any_of(F.col("content"), text.RECENT_MARKERS)).select("memory_id", "agent_id", "created_at")
+    # a fact takes `pool` rows at most, of which fewer are taken already: the agent's newest few are enough
+    newest = Window.partitionBy("agent_id").orderBy(F.desc("created_at"), "memory_id")
+    current = current.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= 2 * config.pool + 1).drop("k")
     times = done.join(current, "agent_id").where("query_id <> memory_id")
     times = times.select("query_id", "memory_id", F.lit(config.temporal_similarity).alias("similarity"), F.lit(3).alias("source"), (-F.col("created_at")).cast("double").alias("key"))
     every = near.unionByName(words).unionByName(times)

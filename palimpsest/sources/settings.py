@@ -128,7 +128,7 @@ class Gates:
     promotion: bool = False
     recency_gate: bool = False
     demotion: bool = False
-    shadow: bool = False
+    shadow: bool = True
 
     @classmethod
     def every(cls, on: bool = True) -> Gates:
