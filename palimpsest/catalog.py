@@ -206,8 +206,8 @@ def recall_full(spark, sf):
 
 
 LISTS = """select doc_id % 20 as query_id, doc_id as memory_id, doc_id * 10 as created_at, case doc_id % 4
-  when 0 then concat('done: TKT', lpad(cast(doc_id % 50 as string), 3, '0'), ' and TKT', lpad(cast(doc_id % 37 as string), 3, '0'), ' closed')
-  when 1 then concat('工单TKT', lpad(cast(doc_id % 41 as string), 3, '0'), '已执行') when 2 then concat('列表 A-', cast(1000 + doc_id % 7 as string))
+  when 0 then concat('done: QX', lpad(cast(doc_id % 50 as string), 3, '0'), ' and QX', lpad(cast(doc_id % 37 as string), 3, '0'), ' closed')
+  when 1 then concat('单号QX', lpad(cast(doc_id % 41 as string), 3, '0'), '已签收') when 2 then concat('列表 A-', cast(1000 + doc_id % 7 as string))
   else 'no ids here' end as line, text from {documents} where text is not null"""
 
 

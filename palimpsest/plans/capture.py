@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scores, text
 from palimpsest.operators import similarity
 from palimpsest.operators.filters import is_alive
+from palimpsest.operators.graph import similarity_edges
 from palimpsest.operators.lifecycle import boosted, marked
 from palimpsest.plans.recall import containing
+from palimpsest.schema import complete
 from palimpsest.storage import materialize
 
 
@@ -42,6 +44,16 @@ class ReconcileConfig:
 NEGATIONS = ("不再", "不是", "没有", "no longer", "not anymore", "stopped", "cancelled")
 
 
+# Reasons of the gate, which clients read.
+REASONS = {
+    "noise": "Transient/noise content (greeting, acknowledgment, etc.)",
+    "duplicate": "Near-duplicate of memory #%d (similarity=%.6f)",
+    "low": "Low marginal value (%.6f)",
+    "unsure": "Uncertain marginal value (%.6f)",
+    "enough": "Sufficient marginal value (%.6f)",
+}
+
+
 def intake(rows: DataFrame) -> DataFrame:
     """Adds ``route``: transient rows are dropped, forget requests act, the rest is stored."""
     route = F.when(text.is_transient(F.col("content")), "drop").when(text.is_forget_request(F.col("content")), "forget").otherwise("store")
@@ -69,13 +81,12 @@ def gate(candidates: DataFrame, memories: DataFrame, config: scores.GateConfig =
     rows = rows.withColumns({"noise": noise, "duplicate": duplicate, "marginal_value": value})
     value = F.col("marginal_value")
     decision = F.when(F.col("noise") | F.col("duplicate") | (value < config.low_value), "Rejected").when(value < config.deferred, "Deferred").otherwise("Accepted")
-    figure = F.format_string("%.6f", value)
     reason = (
-        F.when(F.col("noise"), "Transient/noise content (greeting, acknowledgment, etc.)")
-        .when(F.col("duplicate"), F.concat(F.lit("Near-duplicate of memory #"), F.col("nearest_id").cast("string"), F.lit(" (similarity="), F.format_string("%.6f", similar), F.lit(")")))
-        .when(value < config.low_value, F.concat(F.lit("Low marginal value ("), figure, F.lit(")")))
-        .when(value < config.deferred, F.concat(F.lit("Uncertain marginal value ("), figure, F.lit(")")))
-        .otherwise(F.concat(F.lit("Sufficient marginal value ("), figure, F.lit(")")))
+        F.when(F.col("noise"), REASONS["noise"])
+        .when(F.col("duplicate"), F.format_string(REASONS["duplicate"], "nearest_id", similar))
+        .when(value < config.low_value, F.format_string(REASONS["low"], value))
+        .when(value < config.deferred, F.format_string(REASONS["unsure"], value))
+        .otherwise(F.format_string(REASONS["enough"], value))
     )
     if config.shadow:
         would = F.when(decision == "Deferred", "defer").otherwise("reject")
@@ -238,6 +249,91 @@ def siblings(decisions: DataFrame, facts: DataFrame, memories: DataFrame, config
     return raw.unionByName(judged).distinct()
 
 
+# A fact's text and weight; by default each row's own text is its one fact, as for input that was taken apart before.
+Extract = Callable[[Column], Column]
+
+
+def whole_text(content: Column) -> Column:
+    return F.array(F.struct(content.alias("content"), F.lit(0.5).alias("importance")))
+
+
+def is_echo() -> Column:
+    """An assistant's own words: stored and searchable, but nothing is derived from them."""
+    return F.coalesce(F.col("user_metadata")["role"] == "assistant", F.lit(False))
+
+
+def extracted(raws: DataFrame, fact_id: Callable[[Column, Column], Column], extract: Extract = whole_text, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Facts of captured rows, none of an assistant's: query_id, raw_id, content, embedding and the row's fields.
+
+    ``fact_id``: the new row's id from the row's id and the fact's number; ``embed``: the fact's
+    vector from its text, by default the row's own.
+    """
+    each = raws.where(~is_echo()).select("*", F.posexplode(extract(F.col("content"))).alias("_n", "_fact"))
+    each = each.where(F.coalesce(F.col("_fact.content"), F.lit("")) != "")
+    vector = F.col("embedding") if embed is None else embed(F.col("_fact.content"))
+    changes = {"content": F.col("_fact.content"), "importance": F.col("_fact.importance"), "embedding": vector}
+    kept = [changes[c].alias(c) if c in changes else F.col(c) for c in ("content", "embedding", "agent_id", "user_id", "scope", "memory_type", "source_tier", "importance")]
+    return each.select(fact_id(F.col("memory_id"), F.col("_n")).cast("long").alias("query_id"), F.col("memory_id").alias("raw_id"), *kept)
+
+
+@dataclass(frozen=True)
+class CaptureConfig:
+    gate: scores.GateConfig = scores.GateConfig()
+    reconcile: ReconcileConfig = ReconcileConfig()
+    conflict: float = 0.85
+    related: float = 0.5
+    forget: float = 0.30
+
+
+@dataclass(frozen=True)
+class Captured:
+    """Tables after a batch, and what became of each incoming row."""
+
+    memories: DataFrame
+    edges: DataFrame
+    lineage: DataFrame
+    outcomes: DataFrame  # memory_id, outcome: drop, forget, echo, or the gate's decision on its (first) fact
+    decisions: DataFrame  # query_id, op, target_ids, similarity of each fact kept
+
+
+def run(
+    incoming: DataFrame, memories: DataFrame, edges: DataFrame, now: int, fact_id: Callable[[Column, Column], Column],
+    config: CaptureConfig = CaptureConfig(), extract: Extract = whole_text, embed: Callable[[Column], Column] | None = None, judge=rule_judge,
+) -> Captured:
+    """A batch end to end: noise goes, requests to forget act, the rest is stored, derived and reconciled.
+
+    ``incoming``: columns of the memories, with vectors.  The batch is judged against the store
+    as it was after its requests to forget.
+    """
+    columns = memories.columns
+    routed = materialize(intake(incoming), "routed")
+    requests = routed.where("route = 'forget'").select(F.col("memory_id").alias("query_id"), "agent_id", "embedding")
+    kept = materialize(marked(memories, forgotten(requests, memories, config.forget), "Tombstone"), "kept")
+    raws = complete(routed.where("route = 'store'").drop("route")).withColumns({"tier": F.lit("working"), "phase": F.lit("Active"), "layer": F.lit("Raw"), "confidence_level": F.lit("Inferred")})
+    raws = materialize(raws.select(*columns), "raws")
+    facts = materialize(extracted(raws, fact_id, extract, embed), "facts")
+    derived, lineage = derive(facts, kept, now, config.gate)
+    derived = materialize(derived, "derived")
+    new = complete(derived).withColumn("last_accessed", F.col("created_at")).select(*columns)
+    asked = derived.select(F.col("memory_id").alias("query_id"), "agent_id", "content", "embedding", "created_at")
+    sources = asked.select("query_id").join(derived.select(F.col("memory_id").alias("query_id"), "parent_id"), "query_id")
+    sources = sources.join(raws.select(F.col("memory_id").alias("parent_id"), F.col("content").alias("raw_content")), "parent_id").select("query_id", "raw_content")
+    decisions = materialize(decide(asked, kept, config.reconcile, judge, sources), "decisions")
+    drawn = derived.select(F.col("memory_id").alias("from_id"), F.col("parent_id").alias("to_id"), F.lit("DerivedFrom").alias("type"), F.lit(1.0).alias("weight"), "created_at")
+    speakers = raws.where(~is_echo() & F.col("embedding").isNotNull())
+    living = kept.where(is_alive()).select("memory_id", "agent_id", "embedding").unionByName(raws.select("memory_id", "agent_id", "embedding"))
+    near = similarity.topk_join(speakers.withColumnRenamed("memory_id", "query_id"), living, 50)
+    alike = similarity_edges(near, conflict=config.conflict, related=config.related).withColumn("created_at", F.lit(now).cast("long"))
+    after, linked = apply(kept.unionByName(raws).unionByName(new), edges.unionByName(drawn).unionByName(alike), decisions)
+    after = marked(after, siblings(decisions, asked, kept, config.reconcile, judge), "Tombstone")
+    first = facts.groupBy("raw_id").agg(F.min("query_id").alias("query_id"))
+    verdicts = first.join(derived.select(F.col("memory_id").alias("query_id"), "gate_decision"), "query_id", "left").select(F.col("raw_id").alias("memory_id"), F.coalesce("gate_decision", F.lit("Rejected")).alias("verdict"))
+    echo = raws.where(is_echo()).select("memory_id", F.lit("echo").alias("echo"))
+    said = routed.select("memory_id", "route").join(verdicts, "memory_id", "left").join(echo, "memory_id", "left")
+    outcome = F.when(F.col("route") != "store", F.col("route")).otherwise(F.coalesce("echo", "verdict", F.lit("none")))
+    return Captured(after, linked, lineage, said.select("memory_id", outcome.alias("outcome")), decisions)
+
+
 def prompt_lines(near: DataFrame, memories: DataFrame, most_bytes: int = 200) -> DataFrame:
     """query_id and the lines that show a judge its neighbours."""
     line = F.format_string("id=%d created_at=%d sim=%.4f content=%s", "memory_id", "created_at", "similarity", text.preview(F.col("content"), most_bytes))

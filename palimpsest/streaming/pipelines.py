@@ -15,30 +15,45 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.operators import events as event_log
+from palimpsest.operators.lifecycle import marked
 from palimpsest.plans import capture
 from palimpsest.sources import store
+from palimpsest.storage import materialize
 
 
-def capture_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def capture_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, least: float = 0.30) -> StreamingQuery:
     """Incoming memories (columns of MEMORIES) into the table at ``path``.
 
-    Noise is dropped; of rows with one id in a batch the newest by time wins, so
-    an older one that arrives late does not replace it.  A batch that runs again after
-    a failure writes the same rows under the same number, and the latest write wins.
+    Noise is dropped; requests to forget tombstone the living rows of their agent that are
+    alike enough to the request, as the table stood before the batch; of rows with one id in a
+    batch the newest by time wins, so an older one that arrives late does not replace it.  A
+    batch that runs again after a failure writes the same rows under the same number, and the
+    latest write wins.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = capture.intake(batch).where("route = 'store'").drop("route")
+        routed = materialize(capture.intake(batch), "routed")
+        kept = routed.where("route = 'store'").drop("route")
         newest = kept.groupBy("memory_id").agg(F.max_by(F.struct(*kept.columns), F.struct("created_at", "content")).alias("r")).select("r.*")
-        store.append(newest, path, number)
+        requests = routed.where("route = 'forget' and embedding is not null").select(F.col("memory_id").alias("query_id"), "agent_id", "embedding")
+        if number and not requests.isEmpty():
+            before = current(batch.sparkSession, path, before=number).where("embedding is not null")
+            gone = capture.forgotten(requests, before, least)
+            struck = marked(before.join(gone, "memory_id", "left_semi"), gone, "Tombstone")
+            newest = newest.join(gone, "memory_id", "left_anti").unionByName(struck.select(*newest.columns))
+        store.append(materialize(newest, "batch"), path, number)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The table with event-time order first: a late older write never wins."""
-    rows = store.log(spark, path).withColumn("_order", F.struct("created_at", "seq"))
-    return store.latest(rows, order="_order").drop("_order", "seq")
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The table with event-time order first: a late older write never wins.
+
+    ``before``: as it stood before that batch.
+    """
+    rows = store.log(spark, path)
+    rows = rows if before is None else rows.where(F.col("seq") < before)
+    return store.latest(rows.withColumn("_order", F.struct("created_at", "seq")), order="_order").drop("_order", "seq")
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

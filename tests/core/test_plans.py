@@ -25,7 +25,7 @@ def test_mmr_prefers_the_different():
 
 def test_mmr_counts_a_shared_entity_as_equal():
     score, unit = np.array([0.9, 0.8, 0.7]), np.eye(3)
-    entities = [frozenset({"TKT001"}), frozenset({"TKT001"}), frozenset()]
+    entities = [frozenset({"QX401"}), frozenset({"QX401"}), frozenset()]
     assert recall.diverse(score, unit, entities, np.arange(3), 2, 0.7, None) == [0, 2]
 
 
@@ -64,12 +64,12 @@ def results(spark, rows):
 
 
 def test_stale_aggregates(spark):
-    rows = results(spark, [(1, 1, "TKT001 TKT002 TKT003", 1000), (1, 2, "工单TKT099已执行成功", 2000), (1, 3, "TKT001", 500)])
+    rows = results(spark, [(1, 1, "QX401 QX402 QX403", 1000), (1, 2, "单号QX499已签收", 2000), (1, 3, "QX401", 500)])
     assert [r.memory_id for r in recall.stale_aggregates(rows).collect()] == [1]
     assert recall.drop_stale(rows).count() == 2
-    known = results(spark, [(1, 1, "TKT001 TKT002 TKT003", 1000), (1, 2, "TKT002", 2000)])
+    known = results(spark, [(1, 1, "QX401 QX402 QX403", 1000), (1, 2, "QX402", 2000)])
     assert recall.drop_stale(known).count() == 2
-    single = results(spark, [(1, 1, "TKT001", 1000), (1, 2, "TKT099", 2000)])
+    single = results(spark, [(1, 1, "QX401", 1000), (1, 2, "QX499", 2000)])
     assert recall.drop_stale(single).count() == 2
 
 
@@ -89,7 +89,7 @@ def test_old_versions(spark):
 
 def test_recall_end_to_end(spark, sf):
     rows = fx.memories(spark, sf)
-    asked = fx.queries(rows).where("query_id < 12")
+    asked = fx.queries(rows).where("query_id <= 240")
     edges = graph.upserted(fx.edge_stream(spark, sf))
     out = recall.recall(asked, rows, edges, fx.NOW).toPandas()
     assert len(out) and not out.duplicated(["query_id", "memory_id"]).any()
@@ -127,11 +127,11 @@ def candidate(spark, content, sim, importance=0.0, tier="Behavioral"):
 @pytest.mark.parametrize(
     ("content", "sim", "config", "decision", "reason"),
     [
-        ("the user likes tea in the morning", 0.98, GateConfig(), "Rejected", "Near-duplicate of memory #1 (similarity=0.98"),
-        ("the user likes tea in the morning", 0.60, GateConfig(), "Accepted", "Sufficient"),
-        ("the user likes tea in the morning", 0.99, GateConfig(shadow=True), "Accepted", "[shadow: would reject]"),
-        ("the user likes tea in the morning", 0.92, GateConfig(duplicate=0.99), "Deferred", "Uncertain"),
-        ("thanks!", 0.10, GateConfig(), "Rejected", "Transient"),
+        ("the user likes tea in the morning", 0.98, GateConfig(shadow=False), "Rejected", "Near-duplicate of memory #1 (similarity=0.98"),
+        ("the user likes tea in the morning", 0.60, GateConfig(shadow=False), "Accepted", "Sufficient"),
+        ("the user likes tea in the morning", 0.99, GateConfig(), "Accepted", "[shadow: would reject]"),
+        ("the user likes tea in the morning", 0.92, GateConfig(duplicate=0.99, shadow=False), "Deferred", "Uncertain"),
+        ("thanks!", 0.10, GateConfig(shadow=False), "Rejected", "Transient"),
     ],
 )
 def test_gate(spark, content, sim, config, decision, reason):
@@ -148,7 +148,7 @@ def test_gate_accepts_what_has_no_neighbour(spark):
 def test_near_duplicates_are_put_off_when_derived(spark):
     asked, rows = candidate(spark, "the user likes tea in the morning", 0.99)
     facts = asked.withColumns({"raw_id": F.lit(5).cast("long"), "user_id": F.lit("u"), "scope": F.lit("private"), "memory_type": F.lit("feedback")})
-    derived, lineage = capture.derive(facts, rows, NOW)
+    derived, lineage = capture.derive(facts, rows, NOW, GateConfig(shadow=False))
     row = derived.first()
     assert (row.gate_decision, row.confidence_level, row.parent_id, row.layer) == ("Deferred", "Stale", 5, "Derived")
     assert lineage.first().parent_ids == [5]
@@ -228,6 +228,48 @@ def test_capture_stream(spark, tmp_path):
     assert store.log(spark, path).count() == 2
 
 
+def test_stream_forgets(spark, tmp_path):
+    """A request tombstones alike rows of its agent that were there before its batch."""
+    incoming, path, mark = (str(tmp_path / x) for x in ("in", "store", "mark"))
+    rows = memories(spark, [
+        {"memory_id": 1, "agent_id": "a", "content": "the first text", "created_at": 10, "embedding": [1.0, 0.0]},
+        {"memory_id": 2, "agent_id": "a", "content": "another text", "created_at": 10, "embedding": [0.0, 1.0]},
+        {"memory_id": 3, "agent_id": "b", "content": "the first text", "created_at": 10, "embedding": [1.0, 0.0]},
+    ])
+    rows.write.parquet(incoming)
+
+    def drain():
+        pipelines.capture_stream(spark.readStream.schema(rows.schema).parquet(incoming), path, mark).awaitTermination()
+
+    drain()
+    request = {"memory_id": 9, "agent_id": "a", "content": "please forget about that text", "created_at": 20, "embedding": [0.9, 0.1]}
+    memories(spark, [request]).write.mode("append").parquet(incoming)
+    drain()
+    assert {r.memory_id: r.phase for r in pipelines.current(spark, path).collect()} == {1: "Tombstone", 2: "Active", 3: "Active"}
+
+
+def test_capture_run(spark):
+    store_rows = memories(spark, [
+        {"memory_id": 1, "agent_id": "a", "layer": "Derived", "content": "the garage code is 1234 at present", "created_at": 5, "embedding": [1.0, 0.0, 0.0]},
+        {"memory_id": 2, "agent_id": "a", "content": "we had soup on monday", "created_at": 5, "embedding": [0.0, 1.0, 0.0]},
+    ])
+    batch = memories(spark, [
+        {"memory_id": 11, "agent_id": "a", "content": "hi", "created_at": 20},
+        {"memory_id": 12, "agent_id": "a", "content": "please forget about the soup", "created_at": 20, "embedding": [0.0, 1.0, 0.0]},
+        {"memory_id": 13, "agent_id": "a", "content": "the garage code is 9876 at present", "created_at": 20, "embedding": [0.8, 0.0, 0.6]},
+        {"memory_id": 14, "agent_id": "a", "content": "noted, the garage code is 9876", "created_at": 20, "embedding": [0.8, 0.0, 0.6], "user_metadata": {"role": "assistant"}},
+    ])
+    edges = spark.createDataFrame([], "from_id long, to_id long, type string, weight double, created_at long")
+    config = capture.CaptureConfig(gate=GateConfig(shadow=False))
+    done = capture.run(batch, store_rows, edges, 30, lambda raw, n: raw * 100 + n, config)
+    assert {r.memory_id: r.outcome for r in done.outcomes.collect()} == {11: "drop", 12: "forget", 13: "Deferred", 14: "echo"}
+    assert [(r.query_id, r.op, r.target_ids) for r in done.decisions.collect()] == [(1300, "REPLACE", [1])]
+    assert {r.memory_id: r.phase for r in done.memories.collect()} == {1: "Tombstone", 2: "Tombstone", 13: "Active", 14: "Active", 1300: "Active"}
+    drawn = {(r.from_id, r.to_id, r.type) for r in done.edges.collect()}
+    assert drawn == {(1300, 13, "DerivedFrom"), (1300, 1, "Supersedes"), (13, 14, "ConflictsWith"), (13, 1, "Related")}
+    assert [(r.child_id, r.parent_ids) for r in done.lineage.collect()] == [(1300, [13])]
+
+
 def test_event_windows_and_session_states(spark, tmp_path):
     pd.DataFrame({"event_id": [1, 2], "kind": ["Gate", "Gate"], "timestamp_ms": [0, 1000]}).to_parquet(tmp_path / "e.parquet")
     events = spark.readStream.schema("event_id long, kind string, timestamp_ms long").parquet(str(tmp_path))
