@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import fixtures as fx
-from palimpsest.functions import scores, text
+from palimpsest.functions import scores, text, vectors
 from palimpsest.operators import browse, consolidate, events, filters, graph, lifecycle, lineage, sessions, similarity
 from palimpsest.plans import capture, recall
-from palimpsest.sources import store
+from palimpsest.sources import jsonl, store
+from palimpsest.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -843,3 +845,271 @@ def snowflake_decode(spark, sf):
 def metadata_flatten(spark, sf):
     rows = fx.table(spark, sf, "events").withColumn("attrs", text.flat_metadata(F.from_json("props", "map<string,string>")))
     return rows.select("event_id", F.col("attrs")["k"].alias("k"))
+
+
+# ---- capture end to end
+
+FRESH = "select * from m where memory_id % 20 = 0"
+STORED = "select * from m where memory_id % 20 <> 0"
+FORGET = r"""(strlen({c}) between 6 and 500 and (regexp_matches({c}, '请忘掉|请忘记|请删除|帮我忘|帮我删|忘掉|忘了吧|删掉|别记了|不要记|清除')
+      or regexp_matches({c}, '(?i)\b(forget|delete|remove|erase)\b.*(memory|info|data|about|what\s+i)')))"""
+
+
+def _incoming(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A batch with some assistants' rows and requests to forget, the store, and its edges."""
+    rows, _, edges = _tables(spark, sf)
+    fresh = rows.where("memory_id % 20 = 0")
+    said = F.when(F.col("memory_id") % 100 == 0, F.lit("please forget about that")).otherwise(F.col("content"))
+    role = F.when(F.col("memory_id") % 60 == 0, F.create_map(F.lit("role"), F.lit("assistant"))).otherwise(F.col("user_metadata"))
+    return fresh.withColumns({"content": said, "user_metadata": role}), rows.where("memory_id % 20 <> 0"), edges
+
+
+def _run(spark: SparkSession, sf: str) -> capture.Captured:
+    fresh, stored, edges = _incoming(spark, sf)
+    config = capture.CaptureConfig(gate=GATE, reconcile=RECONCILE, conflict=0.3, related=0.2)
+    return capture.run(fresh, stored, edges, NOW, lambda raw, n: raw * 1_000_000 + n, config)
+
+
+INCOMING = f""", f as (select memory_id, agent_id, embedding, importance, memory_id % 60 = 0 as echo, case when memory_id % 100 = 0 then 'please forget about that' else content end as content from ({FRESH})),
+  r as (select *, case when {TRANSIENT.replace("{c}", "content")} then 'drop' when {FORGET.replace("{c}", "content")} then 'forget' else 'store' end as route from f),
+  near0 as (select f.memory_id as q, s.memory_id, round(list_cosine_similarity(f.embedding::double[], s.embedding::double[]), 6) as sim, f.route
+    from r f join ({STORED}) s on s.agent_id = f.agent_id and s.{ALIVE}),
+  gone as (select distinct memory_id from (select *, row_number() over (partition by q order by sim desc, memory_id) as n from near0 where route = 'forget' and sim >= 0.30) where n <= 20),
+  best as (select q, max(sim) as sim from near0 where memory_id not in (select memory_id from gone) group by 1)"""
+
+
+@query(
+    _ctes("m")
+    + INCOMING
+    + f""", v as (select r.memory_id, r.route, r.echo, b.sim, case when b.sim is null then 1.0 else {_VALUE.format(bonus="0").replace("importance", "0.5").replace("sim", "b.sim")} end as value from r left join best b on b.q = r.memory_id)
+      select memory_id, case when route <> 'store' then route when echo then 'echo' when coalesce(sim >= 0.30, false) or value < 0.85 then 'Deferred' else 'Accepted' end as outcome from v"""
+)
+def capture_batch(spark, sf):
+    return _run(spark, sf).outcomes
+
+
+@query(_ctes("m") + INCOMING + " select memory_id from gone")
+def capture_forgotten(spark, sf):
+    fresh, stored, _ = _incoming(spark, sf)
+    requests = capture.intake(fresh).where("route = 'forget'").withColumnRenamed("memory_id", "query_id")
+    return capture.forgotten(requests, stored)
+
+
+@query(
+    _ctes("m")
+    + INCOMING
+    + """ select memory_id * 1000000 as from_id, memory_id as to_id from r where route = 'store' and not echo"""
+)
+def capture_lineage(spark, sf):
+    return graph.of_types(_run(spark, sf).edges, "DerivedFrom").where("from_id >= 1000000").select("from_id", "to_id")
+
+
+# ---- ranking, in SQL unrolled step by step
+
+
+def _mmr_sql(k: int = 10) -> str:
+    ids = r"list_distinct(list_concat(regexp_extract_all(content, '\b(?:[A-Z]{2,5}\d{3,6}|[A-Z]{1,5}-\d{3,6})\b'), regexp_extract_all(content, '\b\d{8,}\b')))"
+    steps = [
+        f"""totals as (select query_id, memory_id, {TOTAL} as s from scored),
+        sc as materialized (select t.query_id, t.memory_id, t.s, m.embedding::double[] as e, {ids.replace("content", "m.content")} as ids from totals t join m using (memory_id)),
+        best as (select query_id, case when max(s) > 0 then max(s) else 1.0 end as top from sc group by 1),
+        c1 as materialized (select query_id, memory_id, 1 as position from (select *, row_number() over (partition by query_id order by s desc, memory_id) as n from sc) where n = 1)"""
+    ]
+    for n in range(2, k + 1):
+        steps.append(
+            f"""c{n} as materialized (select * from c{n - 1} union all select query_id, memory_id, {n} from (select r.query_id, r.memory_id, row_number() over (partition by r.query_id order by
+              round(0.7::double * r.s / b.top - (1::double - 0.7::double) * greatest(0::double, max(case when len(list_intersect(r.ids, h.ids)) > 0 then greatest(list_cosine_similarity(r.e, h.e), 1::double) else list_cosine_similarity(r.e, h.e) end)), 9) desc, r.memory_id) as n
+             from sc r join best b using (query_id) join c{n - 1} x on x.query_id = r.query_id join sc h on h.query_id = x.query_id and h.memory_id = x.memory_id
+             where not exists (select 1 from c{n - 1} y where y.query_id = r.query_id and y.memory_id = r.memory_id) group by r.query_id, r.memory_id, r.s, b.top) where n = 1)"""
+        )
+    return _ctes("scored") + ", " + ", ".join(steps) + f" select query_id, memory_id, position from c{k}"
+
+
+ORACLE["recall_mmr"] = _mmr_sql()
+
+NEAR_SQL = f""", f as ({FRESH}), s as ({STORED} and {ALIVE}),
+  n0 as (select f.memory_id as query_id, s.memory_id, s.layer, round(list_cosine_similarity(f.embedding::double[], s.embedding::double[]), 6) as similarity from f join s on s.agent_id = f.agent_id),
+  n1 as (select *, row_number() over (partition by query_id order by similarity desc, memory_id) as rank from n0),
+  n2 as (select *, row_number() over (partition by query_id order by rank) as n from n1 where rank <= 30 and layer = 'Derived'),
+  near as (select query_id, memory_id, similarity, 1 as source, n::double as key from n2 where n <= 20),
+  few as (select memory_id as query_id, agent_id, {PAIRS.format("content")} as g from f where memory_id not in (select query_id from near group by 1 having count(*) >= 5) and length(content) >= 2),
+  held as (select memory_id, agent_id, {PAIRS.format("content")} as g from s where layer = 'Derived' and length(content) >= 2),
+  words as (select query_id, memory_id, round(len(list_intersect(few.g, held.g)) / len(few.g), 6) as similarity, 2 as source from few join held using (agent_id)),
+  times as (select f.memory_id as query_id, s.memory_id, 0.5::double as similarity, 3 as source, -s.created_at::double as key from f join s on s.agent_id = f.agent_id and s.layer = 'Derived'
+    where regexp_matches(f.content, '已执行|已完成|已上线|执行成功|已发布|已部署') and regexp_matches(s.content, '最近|当前|目前|最新|现在|刚才')),
+  every as (select * from near union all select query_id, memory_id, similarity, source, -similarity from words where similarity >= 0.30 union all select * from times),
+  once as (select * from every qualify row_number() over (partition by query_id, memory_id order by source) = 1),
+  hood as (select query_id, memory_id, similarity, source, row_number() over (partition by query_id order by source, key, memory_id) as place from once qualify place <= 20)"""
+ORACLE["reconcile_neighbourhood"] = _ctes("m") + NEAR_SQL + " select query_id, memory_id, similarity, source, place from hood"
+
+_RECALL = "case when length({a}) >= 2 then len(list_intersect({pa}, case when length({b}) >= 2 then {pb} else [] end)) / len({pa}) else 0 end"
+_NEGATED = "regexp_matches({c}, '不再|不是|没有|no longer|not anymore|stopped|cancelled')"
+
+
+def _alike_sql() -> str:
+    one = _RECALL.format(a="f.content", b="o.content", pa=PAIRS.format("f.content"), pb=PAIRS.format("o.content"))
+    two = _RECALL.format(a="o.content", b="f.content", pa=PAIRS.format("o.content"), pb=PAIRS.format("f.content"))
+    return f"greatest({one}, {two})"
+
+
+DECIDE_SQL = (
+    NEAR_SQL
+    + f""", k0 as (select *, row_number() over (partition by query_id order by similarity desc, place) as n from hood where similarity >= 0.25 qualify n <= 15),
+  j0 as (select k.query_id, k.memory_id, k.similarity, k.n, f.content = o.content as same, {_NEGATED.format(c="f.content")} and not {_NEGATED.format(c="o.content")} as denied,
+    f.created_at >= o.created_at as newer, {_alike_sql()} as alike from k0 k join m f on f.memory_id = k.query_id join m o on o.memory_id = k.memory_id),
+  j as (select *, case when same then 'REINFORCE' when denied and newer then 'RETRACT' when similarity >= 0.40 then 'REINFORCE' when alike >= 0.60 and newer then 'REPLACE' when alike >= 0.60 then 'NOOP' else 'ADD' end as op from j0),
+  j1 as (select * from j where op <> 'ADD'), first as (select query_id, arg_min(op, n) as op from j1 group by 1),
+  chosen as (select query_id, op, list_sort(list(memory_id)) as ids, max(similarity) as similarity from j1 join first using (query_id, op) group by 1, 2),
+  decided as (select f.memory_id as query_id, coalesce(op, 'ADD') as op, case when coalesce(op, 'ADD') in ('ADD', 'NOOP') then []::bigint[] else ids end as ids, c.similarity from f left join chosen c on c.query_id = f.memory_id)"""
+)
+ORACLE["reconcile_decide"] = _ctes("m") + DECIDE_SQL + " select query_id, op, array_to_string(ids, ',') as target_ids, similarity from decided"
+ORACLE["reconcile_apply"] = (
+    _ctes("m")
+    + DECIDE_SQL
+    + f""", hit as (select d.query_id, d.op, t.memory_id as target, q.parent_id as raw, q.created_at as fact_at, t.parent_id as old_raw, t.created_at as old_at, rq.created_at as raw_at, rt.created_at as old_raw_at
+    from (select query_id, op, unnest(ids) as target from decided) d join m q on q.memory_id = d.query_id join m t on t.memory_id = d.target and t.{ALIVE}
+    left join m rq on rq.memory_id = q.parent_id left join m rt on rt.memory_id = t.parent_id),
+  turned as (select *, op = 'REPLACE' and raw <> 0 and old_raw <> 0 and coalesce(old_raw_at > raw_at, false) as late from hit),
+  struck as (select target as id from turned where op = 'REPLACE' and not late union select old_raw from turned where op = 'REPLACE' and not late union select query_id from turned where late union select raw from turned where late
+    union select target from turned where op = 'RETRACT' and old_at <= fact_at union select query_id from turned where op = 'RETRACT' and old_at <= fact_at union select query_id from decided where op in ('REINFORCE', 'NOOP')),
+  up as (select target, 0.1 * count(*) as delta from turned where op = 'REINFORCE' group by 1)
+  select m.memory_id, case when m.memory_id in (select id from struck where id <> 0) then 'Tombstone' else m.phase end as phase,
+   round(case when u.delta is not null and m.{ALIVE} then least(greatest(m.importance + u.delta, 0), 1) else m.importance end, 6) as importance from m left join up u on u.target = m.memory_id"""
+)
+
+
+# ---- further operators
+
+
+@query(_ctes("m") + " , v as (select * from m where memory_id % 50 = 0) select memory_id, parent_id, case when memory_id % 50 = 0 then 'Versioned' else phase end as phase from m union all select memory_id + 1000000, memory_id, 'Active' from v")
+def version_update(spark, sf):
+    rows = fx.memories(spark, sf)
+    updates = rows.where("memory_id % 50 = 0").select("memory_id", (F.col("memory_id") + 1_000_000).alias("new_id"), F.lit("another text").alias("content"))
+    return lifecycle.new_versions(rows, updates, NOW).select("memory_id", "parent_id", "phase")
+
+
+@query(
+    _ctes("m", "q")
+    + """, s as (select q.query_id, m.memory_id, round(list_cosine_similarity(q.embedding::double[], m.embedding::double[]), 6) as similarity from q join m using (agent_id))
+      select *, row_number() over (partition by query_id order by similarity desc, memory_id) as rank from s qualify rank <= 10"""
+)
+def search_simple(spark, sf):
+    rows, asked, _ = _tables(spark, sf)
+    return recall.simple_search(asked, rows)
+
+
+@query(_ctes("m") + f" select memory_id, case when agent_id = 'agent-2' and {ALIVE} then 'Tombstone' else phase end as phase from m")
+def agent_delete(spark, sf):
+    rows, _, edges = _tables(spark, sf)
+    return lifecycle.delete_agent(rows, edges, "agent-2")[0].select("memory_id", "phase")
+
+
+@query(_ctes("m", "edges", "stream") + f", a as (select memory_id from m where agent_id = 'agent-2' and {ALIVE}) select from_id, to_id, type from edges where from_id not in (select memory_id from a) and to_id not in (select memory_id from a)")
+def agent_delete_edges(spark, sf):
+    rows, _, edges = _tables(spark, sf)
+    return lifecycle.delete_agent(rows, edges, "agent-2")[1].select("from_id", "to_id", "type")
+
+
+@query(
+    _ctes("m")
+    + f""" select count(*) filter ({ALIVE}) as active, count(*) filter (not {ALIVE}) as deleted, count(*) filter ({ALIVE} and tier <> 'long_term') as hot, count(*) filter ({ALIVE} and tier = 'long_term') as cold from m"""
+)
+def index_totals(spark, sf):
+    return browse.index_counts(fx.memories(spark, sf))
+
+
+@query(_ctes("ev") + " select status, count(*) as n from ev group by 1")
+def decision_totals(spark, sf):
+    return browse.decision_counts(fx.events(spark, sf), "status")
+
+
+@query(_ctes("m") + " select memory_id, min(agent_id) as agent_id from m where memory_id in (select user_id + 1 from events) group by 1")
+def owner_lookup(spark, sf):
+    ids = fx.table(spark, sf, "events").select((F.col("user_id") + 1).alias("memory_id")).distinct()
+    return browse.owners_of(ids, fx.memories(spark, sf))
+
+
+@query(
+    _ctes("m")
+    + f""", b as (select f.memory_id as query_id, max(round(list_cosine_similarity(f.embedding::double[], s.embedding::double[]), 6)) as sim from ({FRESH}) f join ({STORED}) s on s.agent_id = f.agent_id and s.{ALIVE} group by 1)
+      select f.memory_id as query_id, coalesce(b.sim >= 0.30, false) as is_duplicate from ({FRESH}) f left join b on b.query_id = f.memory_id"""
+)
+def duplicate_test(spark, sf):
+    fresh, stored = _facts(fx.memories(spark, sf))
+    return similarity.duplicates(fresh, stored.where(filters.is_alive()), 0.30)
+
+
+@query(_ctes("edges") + " select from_id, to_id, type, (select count(*) from edges) as total from edges order by weight desc, from_id, to_id, type limit 25 offset 25")
+def graph_page(spark, sf):
+    edges = graph.upserted(fx.edge_stream(spark, sf))
+    return browse.page(edges, 2, 25, [F.desc("weight"), F.col("from_id"), F.col("to_id"), F.col("type")]).select("from_id", "to_id", "type", "total")
+
+
+@query(
+    _ctes("m")
+    + """ select a.memory_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 4) as inner_product, round(list_distance(a.embedding::double[], b.embedding::double[]), 4) as l2,
+       round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from m a join m b on b.memory_id = a.memory_id + 1"""
+)
+def vector_distances(spark, sf):
+    rows = fx.memories(spark, sf).select("memory_id", "embedding")
+    after = rows.select((F.col("memory_id") - 1).alias("memory_id"), F.col("embedding").alias("other"))
+    a, b = F.col("embedding"), F.col("other")
+    both = rows.join(after, "memory_id")
+    return both.select("memory_id", F.round(vectors.inner(a, b), 4).alias("inner_product"), F.round(F.sqrt(vectors.squared_l2(a, b)), 4).alias("l2"), F.round(vectors.cosine(a, b), 4).alias("cosine"))
+
+
+SESSION_LOG = """
+select 'start' as op, conv_id as session_id, 'agent-1' as agent_id, concat('user-', cast(conv_id % 5 as string)) as user_id, cast(0 as bigint) as at, cast(null as string) as intent, cast(null as bigint) as touched
+ from {conversations} where turn = 0
+union all select 'turn', conv_id, null, null, cast(turn + 1 as bigint), role, cast(conv_id + turn as bigint) from {conversations}
+union all select 'close', conv_id, null, null, cast(100 as bigint), null, null from {conversations} where turn = 0 and conv_id % 3 = 0
+"""
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(SESSION_LOG, conversations=fx.table(spark, sf, "conversations"))
+    return rows.withColumn("memory_ids", F.when(F.col("touched").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("touched"))).drop("touched")
+
+
+SESSIONS = f""" l as ({SESSION_LOG.format(conversations="conversations")}),
+  sess as (select session_id, max(user_id) as user_id, max(case when op <> 'close' then l."at" end) as last_turn_at, count(*) filter (op = 'turn') as turn_count, count(*) filter (op = 'close') = 0 as active,
+    coalesce(arg_max(intent, case when op = 'turn' then l."at" end), '') as current_intent, list_sort(list_distinct(list(touched) filter (touched is not null))) as ids from l group by 1 having count(*) filter (op = 'start') > 0)"""
+
+
+@query("with" + SESSIONS + " select session_id, user_id, last_turn_at, turn_count, active, current_intent, array_to_string(ids, ',') as memory_ids from sess")
+def session_fold(spark, sf):
+    rows = sessions.folded(_log(spark, sf))
+    return rows.select("session_id", "user_id", "last_turn_at", "turn_count", "active", "current_intent", F.array_join(F.col("memory_ids").cast("array<string>"), ",").alias("memory_ids"))
+
+
+@query(_ctes("m") + "," + SESSIONS + ", u as (select session_id, unnest(ids) as memory_id from sess) select s.session_id, count(m.memory_id) as memories from sess s left join u using (session_id) left join m on m.memory_id = u.memory_id group by 1")
+def session_memories(spark, sf):
+    return sessions.resolved(sessions.folded(_log(spark, sf)), fx.memories(spark, sf))
+
+
+@query(
+    "with"
+    + SESSIONS
+    + """ select session_id from sess where not active and 3605 - last_turn_at <= 3600 union all
+      select session_id from (select session_id from sess where active order by last_turn_at desc, session_id limit 100)"""
+)
+def session_expiry(spark, sf):
+    return sessions.expired(sessions.folded(_log(spark, sf)), 3605, most=100).select("session_id")
+
+
+@query(_ctes("m") + " select memory_id, content, round(importance, 6) as importance, case when phase = 'Invalidated' then 'Active' else phase end as phase, tier from m")
+def json_round_trip(spark, sf):
+    path = f"{shared_dir(spark)}/palimpsest-json-{uuid.uuid4().hex}"
+    jsonl.export(fx.memories(spark, sf), path)
+    return jsonl.import_memories(spark, path).select("memory_id", "content", F.round("importance", 6).alias("importance"), "phase", "tier")
+
+
+@query(_ctes("m") + " select memory_id, case when memory_id % 4 = 0 then 'rewritten' else content end as content from m where memory_id % 7 <> 0 and phase <> 'Tombstone'")
+def store_log(spark, sf):
+    """Three batches in an append log: all rows, a rewrite of some, a removal of others."""
+    rows, path = fx.memories(spark, sf), f"{shared_dir(spark)}/palimpsest-log-{uuid.uuid4().hex}"
+    store.append(rows, path, 1)
+    store.append(rows.where("memory_id % 4 = 0").withColumn("content", F.lit("rewritten")), path, 2)
+    store.append(lifecycle.marked(rows.where("memory_id % 7 = 0"), rows, "Tombstone"), path, 3)
+    # a Tombstone of the fixture that was rewritten alone stays one
+    return store.live(store.log(spark, path)).select("memory_id", "content")
