@@ -147,7 +147,7 @@ def search(values: np.ndarray, queries: np.ndarray, stored: np.ndarray, radius:
                 todo.append((q[dq <= middle + radius], s[inside]))
                 todo.append((q[dq > middle - radius], s[~inside]))
                 continue
-        rows = max(1, 1_000_000 // len(s))
+        rows = max(1, 500_000 // len(s))
         for at in range(0, len(q), rows):
             some = q[at : at + rows]
             i, j = np.nonzero(np.bitwise_count(values[some][:, None] ^ values[s][None, :]) <= radius)
@@ -155,6 +155,22 @@ def search(values: np.ndarray, queries: np.ndarray, stored: np.ndarray, radius:
                 yield some[i], s[j]
 
 
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after linking i with j: the larger root is hung on the smaller until none differ."""
+    while True:
+        a, b = root[i], root[j]
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return root
+        a, b, i, j = a[apart], b[apart], i[apart], j[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+
+
 def forest(nodes: np.ndarray, values: np.ndarray, checks: np.ndarray, side: np.ndarray, radius: int, check_radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest: within side 0 if there is no side 1, else across."""
     everyone = np.arange(len(values))
@@ -164,26 +180,7 @@ def forest(nodes: np.ndarray, values: np.ndarray, checks: np.ndarray, side: np.n
         if check_radius < 64:
             near = np.bitwise_count(checks[i] ^ checks[j]) <= check_radius
             i, j = i[near], j[near]
-        pairs = np.stack([root[i], root[j]])
-        pairs = pairs[:, pairs[0] != pairs[1]]
-        if not pairs.size:
-            continue
-        parent: dict[int, int] = {}
-
-        def find(x: int, parent=parent) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
-
-        for a, b in np.unique(np.sort(pairs, axis=0), axis=1).T.tolist():
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        moved = np.arange(len(values))
-        for x in parent:
-            moved[x] = find(x)
-        root = moved[root]
+        root = merged(root, i, j)
     linked = np.flatnonzero(root != everyone)
     return nodes[linked], nodes[root[linked]]
 
