@@ -9,7 +9,7 @@ axes, so that a few words which matter are not drowned by the many which do not.
 
 The examples lie in blocks of an inverted index that keeps each term's largest weight
 in each block.  A query's bound on a block is the sum of those; blocks are scored in
-falling order of bound, a few and then more at a time, until no bound reaches the k-th
+falling order of bound, a batch of postings at a time, until no bound reaches the k-th
 similarity found, so the neighbours are exact.  All examples tied with the k-th vote, and all that vote are
 listed as evidence.  Votes weigh similarity / (1 - similarity + eps), corrected for the
 sample's share of each class, beside a prior vote; they are mapped to probabilities by a
@@ -54,6 +54,8 @@ class Limits:
     eps: float = 0.05
     prior: float = 5.0
     folds: int = 3
+    dense: int = 8  # a term of this part of the examples, one in so many, is frequent
+    batch: int = 16384
     association: bool = True
 
 
@@ -82,39 +84,66 @@ class Index:
         terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
         values = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         rows = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
+        # terms that many examples have are kept as whole rows of a matrix, the others as postings
+        often = np.bincount(terms, minlength=n_terms) * limits.dense >= max(1, len(self.ids))
+        self.dense_terms = np.flatnonzero(often)
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[self.dense_terms] = np.arange(len(self.dense_terms))
+        mine = often[terms]
+        self.dense = np.zeros((len(self.dense_terms), len(self.ids)))
+        self.dense[self.place[terms[mine]], rows[mine]] = values[mine]
+        self.edges = np.arange(0, len(self.ids), limits.block)
+        terms, rows, values = terms[~mine], rows[~mine], values[~mine]
         # postings by term and row; a run of one term and block is an entry, with its largest weight
         by = np.argsort(terms, kind="stable")
         terms, self.rows, self.values = terms[by], rows[by], values[by]
         self.blocks = -(-len(order) // limits.block)
         block = self.rows // limits.block
         first = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])]) if len(terms) else np.zeros(0, np.int64)
-        self.entry_block, self.entry_at = block[first], np.r_[first, len(terms)]
+        self.entry_block, self.entry_at = block[first].astype(np.int32), np.r_[first, len(terms)].astype(np.int32)
         self.peak = np.maximum.reduceat(self.values, first) if len(first) else np.zeros(0)
-        self.term_at = np.searchsorted(terms[first], np.arange(n_terms + 1))
+        self.term_at = np.searchsorted(terms[first], np.arange(n_terms + 1)).astype(np.int32)
+        self.block_of = np.arange(len(order)) // limits.block
 
     def nearest(self, terms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the k nearest and of all tied with the k-th, nearest first."""
+        """Rows and similarities of the k nearest and of all tied with the k-th, nearest first.
+
+        A block's bound is the largest sum of its examples over frequent terms, plus the peaks of
+        the others.
+        """
         k = self.limits.neighbours
-        rows, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        entries, weight = spread(self.term_at[terms], self.term_at[terms + 1], values)
+        place = self.place[terms]
+        wide = np.zeros(len(self.dense_terms))
+        wide[place[place >= 0]] = values[place >= 0]
+        base = wide @ self.dense
+        some = place < 0
+        entries, weight = spread(self.term_at[terms[some]], self.term_at[terms[some] + 1], values[some])
         blocks = self.entry_block[entries]
-        bounds = np.bincount(blocks, self.peak[entries] * weight, minlength=self.blocks)
-        order, at, some = np.argsort(-bounds, kind="stable"), 0, 4
+        bounds = np.maximum.reduceat(base, self.edges) + np.bincount(blocks, self.peak[entries] * weight, minlength=self.blocks)
+        order, at = np.argsort(-bounds, kind="stable"), 0
+        # batches of blocks in falling order of bound, each of some thousands of postings
+        sizes = self.entry_at[entries + 1] - self.entry_at[entries]
+        work = np.cumsum(np.bincount(blocks, sizes, minlength=self.blocks)[order])
+        rows, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         while at < len(order):
-            batch = order[at : at + some]
-            batch = batch[(bounds[batch] > 1e-12) & ((len(sims) < k) | (bounds[batch] >= least - 1e-9))]
+            done = work[at - 1] if at else 0.0
+            end = max(at + 4, int(np.searchsorted(work, done + self.limits.batch, side="right")))
+            batch, at = order[at:end], end
+            batch = batch[(bounds[batch] > 1e-12) & (bounds[batch] >= least - 1e-9)]
             if not len(batch):  # bounds only fall from here on
                 break
-            at, some = at + some, some * 2
             chosen = np.zeros(self.blocks, bool)
             chosen[batch] = True
-            mine = chosen[blocks]
-            postings, w = spread(self.entry_at[entries[mine]], self.entry_at[entries[mine] + 1], weight[mine])
-            scores = np.bincount(self.rows[postings], self.values[postings] * w, minlength=len(self.ids))
-            here = np.flatnonzero(scores > max(1e-12, least - 1e-9 if len(sims) >= k else 0.0))
+            if len(batch) < len(order):
+                mine = chosen[blocks]
+                postings, w = spread(self.entry_at[entries[mine]], self.entry_at[entries[mine] + 1], weight[mine])
+            else:
+                postings, w = spread(self.entry_at[entries], self.entry_at[entries + 1], weight)
+            scores = np.where(chosen[self.block_of], base, 0.0) + np.bincount(self.rows[postings], self.values[postings] * w, minlength=len(self.ids))
+            here = np.flatnonzero(scores > max(1e-12, least - 1e-9))
             rows, sims = np.concatenate([rows, here]), np.concatenate([sims, scores[here]])
             if len(sims) >= k:
-                least = np.partition(sims, len(sims) - k)[len(sims) - k]
+                least = float(np.partition(sims, len(sims) - k)[len(sims) - k])
                 best = sims >= least - 1e-9
                 rows, sims = rows[best], sims[best]
         order = np.lexsort((rows, -np.round(sims, 9)))
@@ -155,23 +184,25 @@ class Model:
         self.index: Index | None = None
         self.slope, self.offset = 1.0, 0.0
 
-    def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in rising order and their weights, of length 1."""
-        known = self.words
-        found = [w for w in counts if w in known]
-        terms = np.array([known[w] for w in found], np.int64)
-        tf = np.array([counts[w] for w in found], float)
+    def terms(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's known terms and how often each occurs."""
+        known, counts = self.words, Counter(plain_words(text or b""))
+        found = counts.keys() & known.keys()
+        terms = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
         by = np.argsort(terms)
-        terms = terms[by]
-        values = (1 + np.log(tf[by])) * self.scale[terms]
+        return terms[by], np.fromiter(map(counts.__getitem__, found), float, len(found))[by]
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms and their weights, of length 1."""
+        values = (1 + np.log(counts)) * self.scale[terms]
         norm = math.sqrt(float(values @ values))
-        return (terms, values / norm) if norm > 1e-12 else (np.zeros(0, np.int64), np.zeros(0))
+        return (terms, values / norm) if norm > 1e-12 else (terms[:0], values[:0])
 
     def score(self, text: bytes | None) -> tuple[float, list, list]:
         """Probability, and the ids and labels of the examples that voted, nearest first."""
         if self.index is None:
             return self.constant or 0.0, [], []
-        rows, sims = self.index.nearest(*self.vector(Counter(plain_words(text or b""))))
+        rows, sims = self.index.nearest(*self.vector(*self.terms(text)))
         odds = self.slope * self.index.vote(rows, sims) + self.offset
         return squashed(odds), [self.index.ids[r] for r in rows], [int(self.index.labels[r]) for r in rows]
 
@@ -182,8 +213,8 @@ def associations(df: np.ndarray, yes: np.ndarray, rows: int, positives: int) ->
     return (yes - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / (rows + 1.0)), 1e-12)
 
 
-def _examples(docs: DataFrame, labelled: DataFrame, limits: Limits, text_col: str, id_col: str) -> tuple[list[tuple], dict]:
-    """(id, label, copies, words, counts) of the sample's distinct texts, and how many labels of each class there are."""
+def _examples(docs: DataFrame, labelled: DataFrame, limits: Limits, text_col: str, id_col: str) -> tuple[list[tuple], dict[bytes, int], dict]:
+    """(id, label, copies, terms, counts) of the sample's distinct texts, the words of the terms, and how many labels each class has."""
     once = labelled.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     have = {r.y: r.n for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [bounded_sample(once.where(F.col("y") == y), "id", most) for y, most in ((1, limits.positives), (0, limits.negatives))]
@@ -202,27 +233,32 @@ def _examples(docs: DataFrame, labelled: DataFrame, limits: Limits, text_col: st
 
     slim = train.select(F.col("id").cast("string"), F.col("y").cast("int"), "copies", "text")
     table = map_batches(slim, make, "id string, y int, copies long, words array<binary>, counts array<int>").toArrow()
-    return sorted(zip(*(table.column(c).to_pylist() for c in out.names), strict=True), key=lambda r: (r[0], r[1])), have
+    table = table.sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+    listed = table.column("words").combine_chunks()
+    coded = listed.flatten().dictionary_encode()
+    terms, counts = coded.indices.to_numpy().astype(np.int64), table.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    cuts = np.cumsum(listed.value_lengths().to_numpy())[:-1]
+    head = zip(*(table.column(c).to_pylist() for c in ("id", "y", "copies")), strict=True)
+    rows = [(*h, t, c) for h, t, c in zip(head, np.split(terms, cuts), np.split(counts, cuts), strict=True)] if table.num_rows else []
+    return rows, {w: t for t, w in enumerate(coded.dictionary.to_pylist())}, have
 
 
 def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_col: str = "text", id_col: str = "doc_id") -> Model:
     """``labelled``: (id, y) rows that may be learned from; y is 0 or 1."""
-    rows, have = _examples(docs, labelled, limits, text_col, id_col)
+    rows, words, have = _examples(docs, labelled, limits, text_col, id_col)
     labels = np.array([r[1] for r in rows], float)
     yes = int(labels.sum())
     if not 0 < yes < len(rows):
         return Model({}, np.zeros(0), 1.0 if yes else 0.0)
-    words = {w: t for t, w in enumerate(sorted({w for r in rows for w in r[3]}))}
     everywhere = document_frequency(docs, text_col, words)
     total = docs.count()
     idf = np.log((total + 1) / (np.array([everywhere.get(w, 0) for w in words], float) + 1)) + 1
-    terms = [np.array([words[w] for w in r[3]], np.int64) for r in rows]
+    terms = [r[3] for r in rows]
     copies = np.array([r[2] for r in rows], float)
     sampled = {y: copies[labels == y].sum() for y in (0, 1)}
     weights = copies * np.array([have[int(y)] / sampled[int(y)] for y in labels])  # what an example stands for
     kind = docs.schema[id_col].dataType.typeName()
     ids = [int(r[0]) if kind in ("long", "integer", "short", "byte") else r[0] for r in rows]
-    counts = [dict(zip(r[3], r[4], strict=True)) for r in rows]
 
     def learn(some: np.ndarray) -> Model:
         """A model of these examples, its votes not yet mapped to probabilities."""
@@ -232,7 +268,7 @@ def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_co
             yes = np.bincount(np.concatenate([terms[i] for i in some if labels[i]]), minlength=len(words)).astype(float)
             scale = idf * associations(df, yes, len(some), int(labels[some].sum()))
         model = Model(words, scale)
-        model.index = Index([ids[i] for i in some], labels[some], [model.vector(counts[i]) for i in some], weights[some] / weights[some].mean(), len(words), limits)
+        model.index = Index([ids[i] for i in some], labels[some], [model.vector(terms[i], rows[i][4]) for i in some], weights[some] / weights[some].mean(), len(words), limits)
         return model
 
     everyone, votes, voted = np.arange(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), bool)
@@ -240,7 +276,7 @@ def fit(docs: DataFrame, labelled: DataFrame, limits: Limits = Limits(), text_co
         back, rest = everyone[everyone % limits.folds == k], everyone[everyone % limits.folds != k]
         if len(set(labels[rest])) == 2:
             part = learn(rest)
-            votes[back] = [part.index.vote(*part.index.nearest(*part.vector(counts[i]))) for i in back]
+            votes[back] = [part.index.vote(*part.index.nearest(*part.vector(terms[i], rows[i][4]))) for i in back]
             voted[back] = True
     model = learn(everyone)
     if len(set(labels[voted])) == 2:

@@ -98,7 +98,7 @@ def test_neighbours_are_exact():
         found = np.sort(rng.choice(terms, size=rng.integers(1, 6), replace=False))
         w = rng.uniform(0.2, 2, len(found)) if k % 4 else np.ones(len(found))  # a quarter has many ties
         vectors.append((found, w / np.linalg.norm(w)))
-    index = toxicity.Index(list(range(n)), np.zeros(n), vectors, np.ones(n), terms, toxicity.Limits(neighbours=7, block=16))
+    index = toxicity.Index(list(range(n)), np.zeros(n), vectors, np.ones(n), terms, toxicity.Limits(neighbours=7, block=16, dense=6, batch=50))
     for t, w in vectors[:120]:
         sims = np.array([sum(x * v[1][v[0] == k].sum() for k, x in zip(t, w, strict=True)) for v in vectors])
         least = np.sort(sims)[-7]
