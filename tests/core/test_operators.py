@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import schema
+from palimpsest import schema, storage
+from palimpsest.functions import scores
 from palimpsest.operators import browse, consolidate, events, filters, graph, lifecycle, lineage, sessions, similarity
 from palimpsest.sources import jsonl, settings, store
 
@@ -295,3 +296,51 @@ def test_settings():
     assert known.get("decay_rate") == 0.5
     assert [v.name for v in known.listed("%_weight")] == sorted(v for v in known.known if v.endswith("_weight"))
     assert settings.Gates.every().enabled() == 14 and settings.Gates().enabled() == 2
+
+
+def test_default_variables_and_agents():
+    known = settings.default_variables()
+    assert len(known.known) == 72 and known.get("v2_deferred_threshold") == 0.3 and known.get("rerank_model") == "" and known.get("sst_use_mmap") is True
+    known.set("decay_rate", "0.02")
+    assert known.get("decay_rate") == 0.02
+    with pytest.raises(PermissionError):
+        known.set("port", "1")
+    agents = settings.Agents(most=3)
+    agents.register("a", "Ann")
+    assert agents.get("a") == "Ann" and agents.get("b") == "b" and agents.listed() == ["a", "b", "default"]
+    for wrong in (lambda: agents.register("a"), lambda: agents.get("c"), lambda: agents.remove("default")):
+        with pytest.raises(ValueError):
+            wrong()
+    agents.remove("a")
+    assert agents.listed() == ["b", "default"]
+    with pytest.raises(KeyError):
+        settings.Agents(create=False).get("x")
+
+
+def test_shadow_is_the_default():
+    assert settings.Gates().shadow and scores.GateConfig().shadow
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
+
+
+def test_long_supersession_chains(spark):
+    """Longer than any fixed number of steps, and a cycle ends."""
+    n = 90
+    edges = spark.createDataFrame([(k + 1, k, "Supersedes", 1.0, k) for k in range(1, n)] + [(201, 200, "Supersedes", 1.0, 1), (200, 201, "Supersedes", 1.0, 2)], "from_id long, to_id long, type string, weight double, created_at long")
+    rows = spark.createDataFrame([(k, "Active" if k in (n, 200, 201) else "Tombstone", 1000 + k) for k in [*range(1, n + 1), 200, 201]], "memory_id long, phase string, created_at long")
+    got = {r.memory_id: r.superseded_at for r in graph.supersession(edges, rows).collect()}
+    assert {k: got[k] for k in range(1, n)} == dict.fromkeys(range(1, n), 1000 + n) and set(got) == {*range(1, n), 200, 201}
+
+
+def test_half_a_grid_has_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, "a", [float(x) for x in rng.normal(size=3)]) for k in range(60)], "memory_id long, agent_id string, embedding array<double>")
+    whole = similarity.pairs_above(rows, 0.6).collect()
+    grid = similarity.pairs_above(rows, 0.6, broadcast_bytes=0, part_rows=7).collect()
+    assert sorted(whole) == sorted(grid) and len(whole) > 20
