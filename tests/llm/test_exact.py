@@ -194,7 +194,7 @@ def test_tree_search_is_exact():
     assert got == {(i, j) for i in range(len(values)) for j in range(len(values)) if (int(values[i]) ^ int(values[j])).bit_count() <= 4}
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 40])
+@pytest.mark.parametrize("block_words", [1_000_000, 150])
 def test_decontamination(spark, sf, docs, texts, block_words):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bench += [(501, "Under the MIT!"), (501, "one two three"), (502, "ONE two-three"), (503, None), (504, "")]

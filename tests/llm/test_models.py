@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import chat, compression, langid, mixing, nbsvm, toxicity
+from palimpsest.llm import chat, compression, langid, mixing, nbsvm, simhash, toxicity
 from palimpsest.llm.common import read
 
 SF = "/root/testdata/sf0.01"
@@ -224,8 +224,8 @@ def test_pipeline(spark, tmp_path):
             kept = {d for d in kept if not brute.quality(rows[d])[5] and compression.in_band(len(rows[d].encode()), compression.ratios(rows[d].encode(), press, bands), bands)}
         elif name == "near_dedup":
             order = sorted(kept)
-            groups = brute.simhash_components([(d, rows[d]) for d in order])
-            kept = {component for _, component in groups}
+            alike = simhash.Alike()
+            kept = set(brute.alike_components([(d, rows[d]) for d in order], alike.width, alike.radius, alike.check_width, alike.check_radius))
         elif name == "decontaminate":
             kept = {d for d in kept if not brute.leaked(rows[d], items)}
             assert not {900001, 900002} & kept
