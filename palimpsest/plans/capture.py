@@ -19,7 +19,7 @@ from palimpsest.operators import similarity
 from palimpsest.operators.filters import is_alive
 from palimpsest.operators.graph import similarity_edges
 from palimpsest.operators.lifecycle import boosted, marked
-from palimpsest.plans.recall import containing
+from palimpsest.operators.wording import most_shared
 from palimpsest.schema import complete
 from palimpsest.storage import materialize
 
@@ -124,7 +124,7 @@ def neighbourhood(facts: DataFrame, memories: DataFrame, config: ReconcileConfig
     """query_id, memory_id, similarity, source, place: what a fact is weighed against.
 
     First derived living rows among the nearest; if they are few, rows that share
-    bigrams, looked up by the rare ones; for completions also rows that
+    bigrams, of which a running best is kept; for completions also rows that
     speak of the present, newest first.  A row counts by its first source.
     """
     derived = memories.where(is_alive() & (F.col("layer") == "Derived"))
@@ -133,10 +133,11 @@ def neighbourhood(facts: DataFrame, memories: DataFrame, config: ReconcileConfig
     order = Window.partitionBy("query_id").orderBy("rank")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= config.pool)
     near = materialize(near.select("query_id", "memory_id", "similarity", F.lit(1).alias("source"), F.col("n").cast("double").alias("key")), "near")
-    few = facts.join(near.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < config.few)
-    wanted = few.select(F.col("query_id").alias("text_id"), "agent_id", text.bigrams(F.col("content")).alias("pairs"))
-    shared = containing(derived.select("memory_id", "agent_id", "content"), wanted, config.bigram).withColumnRenamed("text_id", "query_id").where("query_id <> memory_id")
-    words = shared.select("query_id", "memory_id", F.round(F.col("hits") / F.col("n"), 6).alias("similarity")).where(F.col("similarity") >= config.bigram)
+    few = facts.select("query_id", "agent_id", "content").join(near.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < config.few)
+    wanted = few.select(F.col("query_id").alias("text_id"), "agent_id", "content")
+    # of a fact's rows fewer than `few` are taken already, so that its best `pool` and as many more are enough
+    shared = most_shared(derived.select("memory_id", "agent_id", "content"), wanted, config.bigram, config.pool + config.few)
+    words = shared.withColumnRenamed("text_id", "query_id").where(F.col("similarity") >= config.bigram)
     words = words.select("query_id", "memory_id", "similarity", F.lit(2).alias("source"), (-F.col("similarity")).alias("key"))
     done = facts.where(text.any_of(F.col("content"), text.COMPLETION_MARKERS)).select("query_id", "agent_id")
     current = derived.where(text.any_of(F.col("content"), text.RECENT_MARKERS)).select("memory_id", "agent_id", "created_at")
