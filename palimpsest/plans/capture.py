@@ -19,7 +19,7 @@ from palimpsest.operators import similarity
 from palimpsest.operators.filters import is_alive
 from palimpsest.operators.graph import similarity_edges
 from palimpsest.operators.lifecycle import boosted, marked
-from palimpsest.operators.wording import most_shared
+from palimpsest.operators.wording import most_shared, with_alike
 from palimpsest.schema import complete
 from palimpsest.storage import materialize
 
@@ -158,17 +158,21 @@ def rule_judge(rows: DataFrame, config: ReconcileConfig = ReconcileConfig()) ->
 
     ``rows``: similarity, fact, fact_at, old, old_at.
     """
-    alike = F.greatest(text.bigram_recall(F.col("fact"), F.col("old")), text.bigram_recall(F.col("old"), F.col("fact")))
     newer = F.col("fact_at") >= F.col("old_at")
+    same, near = F.col("fact") == F.col("old"), F.col("similarity") >= config.reinforce
+    denied = text.any_of(F.col("fact"), NEGATIONS) & ~text.any_of(F.col("old"), NEGATIONS) & newer
+    false = F.lit(False)
+    rows = with_alike(rows, ~(F.coalesce(same, false) | F.coalesce(near, false) | F.coalesce(denied, false)))
+    alike = F.col("alike")
     op = (
-        F.when(F.col("fact") == F.col("old"), "REINFORCE")
-        .when(text.any_of(F.col("fact"), NEGATIONS) & ~text.any_of(F.col("old"), NEGATIONS) & newer, "RETRACT")
-        .when(F.col("similarity") >= config.reinforce, "REINFORCE")
+        F.when(same, "REINFORCE")
+        .when(denied, "RETRACT")
+        .when(near, "REINFORCE")
         .when((alike >= config.replace_overlap) & newer, "REPLACE")
         .when(alike >= config.replace_overlap, "NOOP")
         .otherwise("ADD")
     )
-    return rows.withColumn("op", op)
+    return rows.withColumn("op", op).drop("alike")
 
 
 def decide(facts: DataFrame, memories: DataFrame, config: ReconcileConfig = ReconcileConfig(), judge: Callable[[DataFrame, ReconcileConfig], DataFrame] = rule_judge, raw: DataFrame | None = None) -> DataFrame:
