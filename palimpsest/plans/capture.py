@@ -19,7 +19,7 @@ from palimpsest.operators import similarity
 from palimpsest.operators.filters import is_alive
 from palimpsest.operators.graph import similarity_edges
 from palimpsest.operators.lifecycle import boosted, marked
-from palimpsest.operators.wording import most_shared, with_alike
+from palimpsest.operators.wording import alike_pairs, most_shared, with_alike
 from palimpsest.schema import complete
 from palimpsest.storage import materialize
 
@@ -43,6 +43,8 @@ class ReconcileConfig:
 # Cues of the default rule judge.
 NEGATIONS = ("不再", "不是", "没有", "no longer", "not anymore", "stopped", "cancelled")
 
+MARKS_SENT = 1_000_000  # so many ids are sent to every task, and the rows that they mark stay where they are
+
 
 # Reasons of the gate, which clients read.
 REASONS = {
@@ -158,21 +160,56 @@ def rule_judge(rows: DataFrame, config: ReconcileConfig = ReconcileConfig()) ->
 
     ``rows``: similarity, fact, fact_at, old, old_at.
     """
-    newer = F.col("fact_at") >= F.col("old_at")
-    same, near = F.col("fact") == F.col("old"), F.col("similarity") >= config.reinforce
-    denied = text.any_of(F.col("fact"), NEGATIONS) & ~text.any_of(F.col("old"), NEGATIONS) & newer
-    false = F.lit(False)
-    rows = with_alike(rows, ~(F.coalesce(same, false) | F.coalesce(near, false) | F.coalesce(denied, false)))
+    same = F.col("fact") == F.col("old")
+    denied = text.any_of(F.col("fact"), NEGATIONS) & ~text.any_of(F.col("old"), NEGATIONS)
+    rows = with_alike(rows, _open(same, denied, config))
+    return rows.withColumn("op", _verdict(same, denied, config)).drop("alike")
+
+
+def _newer() -> Column:
+    return F.col("fact_at") >= F.col("old_at")
+
+
+def _open(same: Column, denied: Column, config: ReconcileConfig) -> Column:
+    """Pairs that only a comparison of their texts decides."""
+    near, false = F.col("similarity") >= config.reinforce, F.lit(False)
+    return ~(F.coalesce(same, false) | F.coalesce(near, false) | F.coalesce(denied & _newer(), false))
+
+
+def _verdict(same: Column, denied: Column, config: ReconcileConfig) -> Column:
     alike = F.col("alike")
-    op = (
+    return (
         F.when(same, "REINFORCE")
-        .when(denied, "RETRACT")
-        .when(near, "REINFORCE")
-        .when((alike >= config.replace_overlap) & newer, "REPLACE")
+        .when(denied & _newer(), "RETRACT")
+        .when(F.col("similarity") >= config.reinforce, "REINFORCE")
+        .when((alike >= config.replace_overlap) & _newer(), "REPLACE")
         .when(alike >= config.replace_overlap, "NOOP")
         .otherwise("ADD")
     )
-    return rows.withColumn("op", op).drop("alike")
+
+
+def judged_pairs(pairs: DataFrame, facts: DataFrame, memories: DataFrame, config: ReconcileConfig = ReconcileConfig(), judge: Callable[[DataFrame, ReconcileConfig], DataFrame] = rule_judge) -> DataFrame:
+    """``pairs`` (query_id, memory_id, similarity, ...) with ``op`` as ``judge`` has it.
+
+    ``facts``: query_id, content, created_at; ``memories``: memory_id, content, created_at.  The
+    rules see what they ask of a single text as a hash and a flag, made where the text lies; only
+    pairs that these leave open have their texts brought together.
+    """
+    names = [c for c in pairs.columns if c not in ("query_id", "memory_id")]
+    if judge is not rule_judge:
+        old = memories.select("memory_id", F.col("content").alias("old"), F.col("created_at").alias("old_at"))
+        fact = facts.select("query_id", F.col("content").alias("fact"), F.col("created_at").alias("fact_at"))
+        return judge(pairs.join(old, "memory_id").join(fact, "query_id"), config).select("query_id", "memory_id", *names, "op")
+    said, denies = F.unhex(F.sha2("content", 256)), text.any_of(F.col("content"), NEGATIONS)
+    old = memories.select("memory_id", said.alias("old"), denies.alias("old_denies"), F.col("created_at").alias("old_at"))
+    fact = facts.select("query_id", said.alias("fact"), denies.alias("fact_denies"), F.col("created_at").alias("fact_at"))
+    same, denied = F.col("fact") == F.col("old"), F.col("fact_denies") & ~F.col("old_denies")
+    rows = pairs.join(old, "memory_id").join(fact, "query_id").withColumns({"same": same, "denied": denied})
+    rows = materialize(rows.drop("old", "fact", "old_denies", "fact_denies"), "pairs")
+    same, denied = F.col("same"), F.col("denied")
+    alike = alike_pairs(rows.where(_open(same, denied, config)), facts.select("query_id", "content"), memories)
+    rows = rows.join(alike, ["query_id", "memory_id"], "left").fillna(0.0, "alike")
+    return rows.withColumn("op", _verdict(same, denied, config)).select("query_id", "memory_id", *names, "op")
 
 
 def decide(facts: DataFrame, memories: DataFrame, config: ReconcileConfig = ReconcileConfig(), judge: Callable[[DataFrame, ReconcileConfig], DataFrame] = rule_judge, raw: DataFrame | None = None) -> DataFrame:
@@ -187,9 +224,8 @@ def decide(facts: DataFrame, memories: DataFrame, config: ReconcileConfig = Reco
     near = neighbourhood(facts, memories, config).where(F.col("similarity") >= config.floor)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "place")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= config.most)
-    old = memories.select("memory_id", F.col("content").alias("old"), F.col("created_at").alias("old_at"))
-    fact = facts.select("query_id", F.col("content").alias("fact"), F.col("created_at").alias("fact_at"))
-    judged = materialize(judge(near.join(old, "memory_id").join(fact, "query_id"), config).where("op <> 'ADD'"), "judged")
+    derived = memories.where(is_alive() & (F.col("layer") == "Derived"))  # a neighbourhood has no other rows
+    judged = materialize(judged_pairs(near, facts, derived, config, judge).where("op <> 'ADD'").select("query_id", "memory_id", "similarity", "n", "op"), "judged")
     first = judged.groupBy("query_id").agg(F.min_by("op", "n").alias("first_op"))
     same = judged.join(first, "query_id").where("op = first_op").groupBy("query_id").agg(
         F.first("op").alias("op"), F.array_sort(F.collect_list("memory_id")).alias("target_ids"), F.max("similarity").alias("similarity")
@@ -307,13 +343,16 @@ def run(
 ) -> Captured:
     """A batch end to end: noise goes, requests to forget act, the rest is stored, derived and reconciled.
 
-    ``incoming``: columns of the memories, with vectors.  The batch is judged against the store
-    as it was after its requests to forget.
+    ``incoming``: columns of the memories, with vectors; ``memories`` is read several times and is
+    best a stored table.  The batch is judged against the store as it was after its requests to forget.
     """
     columns = memories.columns
     routed = materialize(intake(incoming), "routed")
     requests = routed.where("route = 'forget'").select(F.col("memory_id").alias("query_id"), "agent_id", "embedding")
-    kept = materialize(marked(memories, forgotten(requests, memories, config.forget), "Tombstone"), "kept")
+    gone = materialize(forgotten(requests, memories, config.forget), "gone")
+    few = gone.count() <= MARKS_SENT
+    kept = marked(memories, F.broadcast(gone) if few else gone, "Tombstone")
+    kept = kept if few else materialize(kept, "kept")  # the few are told while the store is read, and it is not written anew
     raws = complete(routed.where("route = 'store'").drop("route")).withColumns({"tier": F.lit("working"), "phase": F.lit("Active"), "layer": F.lit("Raw"), "confidence_level": F.lit("Inferred")})
     raws = materialize(raws.select(*columns), "raws")
     facts = materialize(extracted(raws, fact_id, extract, embed), "facts")
